@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.numeric import number_from_text
@@ -72,7 +73,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(pattern), parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _public_ipv6(ips: pd.Series) -> pd.Series:
     def check(text):
         try:
@@ -85,12 +86,13 @@ def _public_ipv6(ips: pd.Series) -> pd.Series:
 
 
 def is_public_ipv4(ip: Column) -> Column:
-    number = ipv4_number(ip)
     blocks = [ipaddress.ip_network(b) for b in PRIVATE_BLOCKS]
-    private = F.lit(False)
-    for b in blocks:
-        private = private | number.between(int(b.network_address), int(b.broadcast_address))
-    return F.coalesce(number.isNotNull() & (~private | ip.isin(*PRIVATE_EXCEPTIONS)), F.lit(False))
+    ranges = F.array(
+        *[F.struct(F.lit(int(b.network_address)).alias("low"), F.lit(int(b.broadcast_address)).alias("high")) for b in blocks]
+    )
+    outside = lambda n: ~F.exists(ranges, lambda b: n.between(b["low"], b["high"]))
+    number = ipv4_number(ip)
+    return F.coalesce(number.isNotNull() & (F.exists(F.array(number), outside) | ip.isin(*PRIVATE_EXCEPTIONS)), F.lit(False))
 
 
 def public_addresses(df: DataFrame, ip: str, category: str, label: str, ipv6: bool = True) -> DataFrame:

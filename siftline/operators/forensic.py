@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.decision import error_type
 from ..functions.numeric import divide, finite
@@ -91,7 +92,7 @@ def overlap_histogram(overlap: DataFrame, keys: Sequence[str], label: str, model
 COMPARISONS = [("FP", "TN"), ("FN", "TP")]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: float("nan") if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2.0))))
 

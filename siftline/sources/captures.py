@@ -105,7 +105,7 @@ def write_ledger(df: DataFrame, path: str, keys: Sequence[str] = ("dataset", "mo
 def read_endpoints(spark: SparkSession, path) -> DataFrame:
     """Endpoint list (capture, ip, port) from JSON records of pcap_file, c2_ip, c2_port."""
     rows = spark.read.schema("pcap_file string, c2_ip string, c2_port int").option("multiLine", True).json(path)
-    return rows.select(F.col("pcap_file").alias("capture"), F.col("c2_ip").alias("ip"), F.col("c2_port").alias("port")).dropDuplicates()
+    return rows.select(F.trim("pcap_file").alias("capture"), F.trim("c2_ip").alias("ip"), F.col("c2_port").alias("port")).dropDuplicates()
 
 
 def stem(file_name: Column) -> Column:
