@@ -80,7 +80,7 @@ def context_variant(payload: Column, variant: str) -> Column:
         "no_sequence": ["sequence_context"],
         "no_benign_deviations": ["strongest_current_flow_benign_deviations"],
         "models_only": [
-            "current_flow_telemetry", "strongest_current_flow_benign_deviations", "sequence_context",
+            "current_flow_telemetry", "strongest_current_flow_benign_deviations", "sequence_context", "behavioral_context_o1",
         ],
         "telemetry_only": ["upstream_evidence", "hybrid_decision_route", "hybrid_route_interpretation"],
     }[variant]

@@ -121,10 +121,10 @@ def error_overlap(base: DataFrame, errors: Mapping[str, DataFrame], row_id: str,
     return out.withColumns({"models_wrong": count, "wrong_models": F.when(names == "", "none").otherwise(names)})
 
 
-def support_percentiles(
+def percentile_table(
     reference: DataFrame, target: DataFrame, keys: Sequence[str], value: str, out: str, rows_per_slice: int | None = None
 ) -> DataFrame:
-    """Share of reference values at most the target value, per key; 0.5 without reference.
+    """For every distinct target value of a key the share of reference values at most that; 0.5 without reference.
 
     Both sides shrink to distinct values before the running count, so ties cost nothing.
     """
@@ -136,10 +136,17 @@ def support_percentiles(
         .groupBy(*keys, value)
         .agg(F.sum("__r").alias("__r"))
     )
-    o = Ordered(counted, keys, [value], rows_per_slice=rows_per_slice)
+    o = Ordered(counted, keys, [value], rows_per_slice=rows_per_slice, aggregated=True)
     o.running({"__cum": F.col("__r")}).totals({"__all": F.col("__r")})
     share = F.when(F.col("__all") > 0, F.col("__cum") / F.col("__all")).otherwise(0.5)
-    table = o.done().select(*keys, value, share.alias(out))
+    return o.done().select(*keys, value, share.alias(out))
+
+
+def support_percentiles(
+    reference: DataFrame, target: DataFrame, keys: Sequence[str], value: str, out: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    """Target rows with the share of reference values at most their own, per key."""
+    table = percentile_table(reference, target, keys, value, out, rows_per_slice)
     return target.join(table, [*keys, value], "left")
 
 
@@ -147,15 +154,14 @@ def add_strengths(
     df: DataFrame, reference: DataFrame, models: Mapping[str, tuple[str, float]], rows_per_slice: int | None = None
 ) -> DataFrame:
     """Per model its decision, percentile among the reference margins of the same decision, and strength."""
-    out = df
+    cols = {}
     for m, (score, threshold) in models.items():
-        cols = {f"{m}_pred": decide(F.col(score), threshold), f"{m}_margin": support_margin(F.col(score), threshold)}
-        out = support_percentiles(
-            reference.select(*[c.alias(n) for n, c in cols.items()]),
-            out.withColumns(cols),
-            [f"{m}_pred"],
-            f"{m}_margin",
-            f"{m}_percentile",
-            rows_per_slice,
-        ).withColumn(f"{m}_strength", strength(F.col(f"{m}_percentile")))
+        cols[f"{m}_pred"] = decide(F.col(score), threshold)
+        cols[f"{m}_margin"] = support_margin(F.col(score), threshold)
+    judged, known = df.withColumns(cols), reference.select(*[c.alias(n) for n, c in cols.items()])
+    out = judged
+    for m in models:
+        at = [f"{m}_pred", f"{m}_margin"]
+        out = out.join(percentile_table(known, judged, at[:1], at[1], f"{m}_percentile", rows_per_slice), at, "left")
+    out = out.withColumns({f"{m}_strength": strength(F.col(f"{m}_percentile")) for m in models})
     return out.withColumn("weakest_percentile", weakest(*[F.col(f"{m}_percentile") for m in models]))

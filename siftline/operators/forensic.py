@@ -111,7 +111,7 @@ def rank_statistics(
     """Mann-Whitney U of group 1 against group 0 with mid-ranks, from counts per distinct value."""
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
     t = F.col("n1") + F.col("n0")
-    o = Ordered(counts, keys, [value], rows_per_slice=rows_per_slice).running({"__cum": t})
+    o = Ordered(counts, keys, [value], rows_per_slice=rows_per_slice, aggregated=True).running({"__cum": t})
     mid = F.col("__cum") - t + (t + 1) / 2
     td = t.cast("double")
     out = o.done().groupBy(*keys).agg(

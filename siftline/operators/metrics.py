@@ -71,7 +71,7 @@ def curve(
     dropped: the ends, and points whose step differs from the next lower score.
     """
     counts = score_counts(df, keys, label, score)
-    o = Ordered(counts, keys, ["score"], halo=1, rows_per_slice=rows_per_slice)
+    o = Ordered(counts, keys, ["score"], halo=1, rows_per_slice=rows_per_slice, aggregated=True)
     below_pos, below_neg = F.lag("pos").over(o.window()), F.lag("neg").over(o.window())
     o.add({"__lp": below_pos, "__ln": below_neg})
     o.running({"__cp": F.col("pos"), "__cn": F.col("neg")}).totals({"p": F.col("pos"), "n": F.col("neg")})

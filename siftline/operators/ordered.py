@@ -25,8 +25,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_SLICE = 1_000_000
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
+MAX_LOOKUP_KEYS = 10_000
 _SEARCH_STEPS = [1 << p for p in range(20, -1, -1)]
 
 
@@ -51,7 +54,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def lookup_hint(df: DataFrame, keys: Sequence[str], max_keys: int = 10_000):
+def lookup_hint(df: DataFrame, keys: Sequence[str], max_keys: int = MAX_LOOKUP_KEYS):
     """Hint for a side with one short row per key: broadcast when ``df`` has few keys, a plain join otherwise."""
     few = df.select(*keys).distinct().limit(max_keys + 1).count() <= max_keys
     return F.broadcast if few else (lambda side: side)
@@ -79,7 +82,9 @@ class Ordered:
     ``order`` must be total within a key: end it with a unique column.
     ``halo`` is how many earlier rows of the key the expressions look back at.
     ``rows_per_slice`` forces slicing; left out, inputs whose estimated size is
-    small keep the plain window.
+    small keep the plain window.  An ``aggregated`` input costs a shuffle each
+    time it is read, so it is checkpointed before it is cut, and its true row
+    count decides.
     """
 
     def __init__(
@@ -90,18 +95,23 @@ class Ordered:
         *,
         halo: int = 0,
         rows_per_slice: int | None = None,
+        aggregated: bool = False,
     ):
         self.keys, self.order, self.halo = list(keys), list(order), halo
         self._const = not self.keys
         if self._const:
-            df = df.withColumn("__all", F.lit(0))
-            self.keys = ["__all"]
+            df = df.withColumn("__one_key", F.lit(0))
+            self.keys = ["__one_key"]
         self.sliced = rows_per_slice is not None or not is_small(df)
+        if self.sliced and aggregated:
+            df = cut_lineage(df)
+            self.sliced = rows_per_slice is not None or df.count() > ROWS_PER_SLICE
         self._running = 0
         if self.sliced:
             self.frame = self._cut(df, rows_per_slice or ROWS_PER_SLICE)
         else:
             self.frame = df
+        self._rows = self.frame
 
     # -- slicing -----------------------------------------------------------
 
@@ -125,7 +135,9 @@ class Ordered:
         cut = df.join(F.broadcast(cuts), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
         own = _order_key(self.order)
-        steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
+        # powers of two up to the number of cuts, largest first
+        every = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
+        steps = F.slice(every, -F.length(F.bin(F.size("__cuts"))), F.length(F.bin(F.size("__cuts"))))
         cut = cut.withColumn("__o", own).withColumn(
             "__slice",
             F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(
@@ -171,11 +183,11 @@ class Ordered:
         return self
 
     def _slice_sums(self, sums: Mapping[str, Column]) -> DataFrame:
-        rows = self.frame.where(F.col("__hot") & ~F.col("__halo"))
+        rows = self._rows.where(F.col("__hot") & ~F.col("__halo"))
         return rows.groupBy(*self.keys, "__slice").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
 
     def running(self, sums: Mapping[str, Column]) -> "Ordered":
-        """Inclusive running sums over the whole key."""
+        """Inclusive running sums of expressions over the input columns, across the whole key."""
         spec = self.window(Window.unboundedPreceding, Window.currentRow)
         if not self.sliced:
             return self.add({n: F.sum(e).over(spec) for n, e in sums.items()})
@@ -200,7 +212,7 @@ class Ordered:
         return self.running({name: F.lit(1).cast("long")})
 
     def totals(self, sums: Mapping[str, Column]) -> "Ordered":
-        """Sums over the whole key, on every row."""
+        """Sums of expressions over the input columns for the whole key, on every row."""
         spec = Window.partitionBy(*self._parts())
         if not self.sliced:
             return self.add({n: F.sum(e).over(spec) for n, e in sums.items()})
@@ -222,7 +234,7 @@ class Ordered:
         out = self.frame
         if self.sliced:
             out = out.where(~F.col("__halo")).drop("__slice", "__halo", "__hot")
-        return out.drop("__all") if self._const else out
+        return out.drop("__one_key") if self._const else out
 
 
 # -- exact quantiles ---------------------------------------------------------
@@ -264,9 +276,11 @@ def exact_quantiles(
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", F.array(*[F.lit(float(m)) for m in marks]), accuracy).alias("__b"),
     )
+    brackets = cut_lineage(brackets)
+    few = F.broadcast if brackets.limit(MAX_LOOKUP_KEYS + 1).count() <= MAX_LOOKUP_KEYS else (lambda side: side)
     renamed = brackets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", "__b")
     match = _and([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    joined = rows.join(renamed, match).drop(*[f"__k{i}" for i in range(len(keys))])
+    joined = rows.join(few(renamed), match).drop(*[f"__k{i}" for i in range(len(keys))])
 
     whole = F.col("__n") < accuracy
     inside, below = [], []
@@ -283,9 +297,9 @@ def exact_quantiles(
         .groupBy(*keys, "__i", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    ranked = Ordered(bands, [*keys, "__i"], ["__v"]).running({"__cum": F.col("__c")}).done()
+    ranked = Ordered(bands, [*keys, "__i"], ["__v"], aggregated=True).running({"__cum": F.col("__c")}).done()
     under_named = under.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n", "__under")
-    ranked = ranked.join(under_named, match).drop(*[f"__k{i}" for i in range(len(keys))])
+    ranked = ranked.join(few(under_named), match).drop(*[f"__k{i}" for i in range(len(keys))])
     wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1) * (F.col("__n") - 1)
     ranked = ranked.withColumn("__h", wanted).withColumn("__end", F.col("__cum") + F.get("__under", F.col("__i")))
     has = lambda r: (F.col("__end") - F.col("__c") <= r) & (r < F.col("__end"))

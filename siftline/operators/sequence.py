@@ -100,33 +100,37 @@ def _gap_array(window: Column) -> Column:
     return arrays.gaps(F.array_sort(F.filter(F.transform(window, lambda r: r["__us"]), lambda t: t.isNotNull())))
 
 
-def sequence_context(features: Sequence[str], decisions: Mapping[str, str]) -> Column:
-    """Struct over ``window``: flow count, gap and feature summaries, share of positive decisions."""
+def with_sequence_context(
+    df: DataFrame, features: Sequence[str], decisions: Mapping[str, str], out: str = "sequence_context"
+) -> DataFrame:
+    """Adds a struct from ``window``: flow count, gap and feature summaries, share of positive decisions."""
     w = F.col("window")
-    gaps = _gap_array(w)
-
-    def summary(f):
-        v = _values(w, f)
-        return F.when(
-            F.size(v) > 0,
-            F.struct(arrays.median(v).alias("median"), arrays.relative_dispersion(v).alias("coefficient_of_variation")),
-        )
-
+    df = df.withColumn("__gaps", _gap_array(w))
+    series = {"__sum_gap": (F.col("__gaps"), None), **{f"__sum_{f}": (_values(w, f), None) for f in features}}
+    df = arrays.add_summaries(df, series)
+    brief = lambda f: F.struct(F.col(f"__sum_{f}.median"), F.col(f"__sum_{f}.coefficient_of_variation"))
     share = lambda c: arrays.mean(F.transform(w, lambda r: r[c].cast("double")))
-    return F.struct(
+    gap = F.struct(
+        F.col("__sum_gap.median"), F.coalesce("__sum_gap.coefficient_of_variation", F.lit(0.0)).alias("coefficient_of_variation")
+    )
+    context = F.struct(
         F.size(w).alias("flows_in_window"),
-        F.struct(
-            arrays.median(gaps).alias("median"), arrays.relative_dispersion(gaps).alias("coefficient_of_variation")
-        ).alias("inter_flow_gap_seconds"),
-        F.struct(*[summary(f).alias(f) for f in features]).alias("recent_behavior_summary"),
+        gap.alias("inter_flow_gap_seconds"),
+        F.struct(*[F.when(F.col(f"__sum_{f}").isNotNull(), brief(f)).alias(f) for f in features]).alias("recent_behavior_summary"),
         F.struct(*[share(c).alias(n) for n, c in decisions.items()]).alias("recent_model_behavior"),
     )
+    return df.withColumn(out, context).drop("__gaps", *series)
 
 
-def behavioral_context(
-    duration: str | None, ratios: Mapping[str, tuple[str, str]], direct: Sequence[str], sizes: Sequence[str]
-) -> Column:
-    """Struct over ``window``: beaconing timing, duration, direction and size stability of the recent flows.
+def with_behavioral_context(
+    df: DataFrame,
+    duration: str | None,
+    ratios: Mapping[str, tuple[str, str]],
+    direct: Sequence[str],
+    sizes: Sequence[str],
+    out: str = "behavioral_context_o1",
+) -> DataFrame:
+    """Adds a struct from ``window``: beaconing timing, duration, direction and size stability of the recent flows.
 
     ``ratios`` maps a name to numerator and denominator columns; ``direct`` are
     direction metrics stored as columns; the current values are those of the case row.
@@ -134,52 +138,57 @@ def behavioral_context(
     w = F.col("window")
     last = F.element_at(w, -1)
     current = lambda c: finite(last[c])
-    gaps = F.filter(_gap_array(w), lambda g: g >= 0)
-    gap_cv, gap_median = arrays.relative_dispersion(gaps), arrays.median(gaps)
-    n = F.size(gaps)
-    newest = F.when(n > 0, F.element_at(gaps, -1))
-    level = F.when(n > 0, regularity_level(gap_cv, n)).otherwise("INSUFFICIENT_HISTORY")
+    df = df.withColumn("__gaps", F.filter(_gap_array(w), lambda g: g >= 0))
+    ratio_values = lambda a, b: arrays.keep_finite(F.transform(w, lambda r: ratio_or_null(r[a], r[b])))
+    direction = {name: (ratio_values(a, b), ratio_or_null(last[a], last[b])) for name, (a, b) in ratios.items()}
+    direction |= {name: (_values(w, name), current(name)) for name in direct}
+    size = {name: (_values(w, name), current(name)) for name in sizes}
+    length = {"duration": (_values(w, duration), current(duration))} if duration else {}
+    groups = {"d": direction, "s": size, "l": length}
+    series = {f"__{g}_{n}": v for g, group in groups.items() for n, v in group.items()}
+    df = arrays.add_summaries(df, {"__gap": (F.col("__gaps"), None), **series})
+    df = df.withColumns(
+        {
+            n: F.when(
+                F.col(n).isNotNull(),
+                F.col(n).withField("stability_level", stability_level(F.col(f"{n}.coefficient_of_variation"), F.col(f"{n}.count"))),
+            )
+            for n in series
+        }
+    )
+    n, middle = F.size("__gaps"), F.col("__gap.median")
+    newest = F.when(n > 0, F.element_at("__gaps", -1))
+    df = df.withColumn("__level", regularity_level(F.col("__gap.coefficient_of_variation"), n))
     timing = F.struct(
         n.alias("usable_inter_flow_gaps"),
-        gap_median.alias("median"),
-        arrays.mean(gaps).alias("mean"),
-        arrays.std_pop(gaps).alias("std"),
-        F.when(n > 0, gap_cv).alias("coefficient_of_variation"),
-        arrays.median_abs_deviation(gaps).alias("median_absolute_deviation"),
-        level.alias("regularity_level"),
+        *[F.col(f"__gap.{f}") for f in ("median", "mean", "std", "coefficient_of_variation", "median_absolute_deviation")],
+        F.col("__level").alias("regularity_level"),
         newest.alias("most_recent_gap_seconds"),
-        F.when(F.abs(gap_median) > EPS, newest / gap_median).alias("most_recent_gap_to_median_ratio"),
+        F.when(F.abs(middle) > EPS, newest / middle).alias("most_recent_gap_to_median_ratio"),
+    )
+    stable = lambda c: F.coalesce(F.col(f"{c}.stability_level") == "HIGH_STABILITY", F.lit(False))
+    block = lambda g: F.struct(*[F.col(f"__{g}_{name}").alias(name) for name in groups[g]])
+    names = lambda g: (
+        F.array_compact(F.array(*[F.when(stable(f"__{g}_{name}"), name) for name in groups[g]]))
+        if groups[g]
+        else F.array().cast("array<string>")
     )
-
-    def rated(values, now):
-        s = arrays.series_summary(values, now)
-        return F.when(
-            s.isNotNull(), s.withField("stability_level", stability_level(s["coefficient_of_variation"], s["count"]))
-        )
-
-    def ratio_values(top, bottom):
-        return arrays.keep_finite(F.transform(w, lambda r: ratio_or_null(r[top], r[bottom])))
-
-    direction = {name: rated(ratio_values(a, b), ratio_or_null(last[a], last[b])) for name, (a, b) in ratios.items()}
-    direction |= {name: rated(_values(w, name), current(name)) for name in direct}
-    size = {name: rated(_values(w, name), current(name)) for name in sizes}
-    length = rated(_values(w, duration), current(duration)) if duration else F.lit(None)
-    stable = lambda s: F.coalesce(s["stability_level"] == "HIGH_STABILITY", F.lit(False))
-    names = lambda group: F.array_compact(F.array(*[F.when(stable(s), name) for name, s in group.items()]))
     fields = [F.size(w).alias("flows_in_window"), timing.alias("beaconing_timing")]
     if duration:
-        fields.append(length.alias("flow_duration_behavior"))
+        fields.append(F.col("__l_duration").alias("flow_duration_behavior"))
     if direction:
-        fields.append(F.struct(*[s.alias(k) for k, s in direction.items()]).alias("directionality_behavior"))
+        fields.append(block("d").alias("directionality_behavior"))
     if size:
-        fields.append(F.struct(*[s.alias(k) for k, s in size.items()]).alias("size_consistency_behavior"))
-    facts = [
-        (level == "HIGH_REGULARITY").alias("timing_is_highly_regular"),
-        (stable(length) if duration else F.lit(False)).alias("flow_duration_is_highly_stable"),
-        (names(direction) if direction else F.array().cast("array<string>")).alias("highly_stable_directionality_metrics"),
-        (names(size) if size else F.array().cast("array<string>")).alias("highly_stable_size_metrics"),
-    ]
-    return F.struct(*fields, F.struct(*facts).alias("compact_behavioral_facts"))
+        fields.append(block("s").alias("size_consistency_behavior"))
+    facts = F.struct(
+        (F.col("__level") == "HIGH_REGULARITY").alias("timing_is_highly_regular"),
+        (stable("__l_duration") if duration else F.lit(False)).alias("flow_duration_is_highly_stable"),
+        names("d").alias("highly_stable_directionality_metrics"),
+        names("s").alias("highly_stable_size_metrics"),
+    )
+    return df.withColumn(out, F.struct(*fields, facts.alias("compact_behavioral_facts"))).drop(
+        "__gaps", "__gap", "__level", *series
+    )
 
 
 def window_columns(ts: str, columns: Sequence[str]) -> dict[str, Column]:
