@@ -69,7 +69,7 @@ DECISIONS = {"lstm_c2_fraction": "lstm_pred", "litemv_c2_fraction": "litemv_pred
 
 
 def windowed_cases(spark, d):
-    df = scored_test(spark, d)
+    df = cut_lineage(scored_test(spark, d))
     cases = filters.hard_cases(df, "final-union")
     columns = sequence.window_columns("ts", [*CONTEXT, "bytes_per_s_raw", *DECISIONS.values()])
     columns["rate"] = F.expr("try_cast(bytes_per_s_raw AS DOUBLE)")

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import close, next_up
 from .metrics import curve, rates
-from .ordered import exact_quantiles, scalars
+from .ordered import bounded_broadcast, exact_quantiles, is_small, lookup_hint, scalars
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Adds per-key columns of ``right``; without keys they are scalars."""
+    """Adds per-key columns of ``right``; without keys they are scalars.
+
+    A key may own most of a large curve, so its one row is broadcast rather than
+    shuffled against it, after a look at the number of keys.
+    """
     if keys:
-        return left.join(right.select(*keys, *columns), list(keys))
+        side = right.select(*keys, *columns)
+        return left.join(side if is_small(left) else bounded_broadcast(side), list(keys))
     got = scalars(right.select(*columns))
     return left.withColumns({c: got[c] for c in columns})
 
@@ -92,7 +97,7 @@ def _methods(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def calibrate(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Candidates by F1, F2 and recall at an FPR cap; the row with ``selected`` wins on F2, F1, recall, FPR, precision."""
-    points = curve(df, keys, label, score)
+    points = curve(df, keys, label, score, reuse=True)
     candidates = _methods(
         {
             "validation_f1": best_fbeta(points, keys, 1.0),
@@ -112,7 +117,7 @@ def calibrate(df: DataFrame, keys: Sequence[str], label: str, score: str) -> Dat
 
 def report_thresholds(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Anomaly-score rule: the F1 threshold is selected, the others (first of equal ones) are for the record."""
-    points = curve(df, keys, label, score)
+    points = curve(df, keys, label, score, reuse=True)
     parts = {"validation_f1": best_fbeta(points, keys, 1.0)}
     for p in K.REPORT_BENIGN_QUANTILES:
         parts[f"benign_q{p:g}"] = benign_quantile(df, keys, label, score, p)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
+from ..session import cut_lineage
 from .ordered import Ordered, scalars, unpivot
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall_tpr", "specificity_tnr", "fpr", "fnr", "f1", "f2", "mcc"]
@@ -63,12 +64,13 @@ def score_counts(df: DataFrame, keys: Sequence[str], label: str, score: str) ->
 
 
 def curve(
-    df: DataFrame, keys: Sequence[str], label: str, score: str, rows_per_slice: int | None = None
+    df: DataFrame, keys: Sequence[str], label: str, score: str, rows_per_slice: int | None = None, reuse: bool = False
 ) -> DataFrame:
     """One row per distinct score, taken as threshold: tps, fps, precision, recall, fpr.
 
     ``corner`` marks the points left when ROC points on a straight line are
     dropped: the ends, and points whose step differs from the next lower score.
+    A large curve that will be read several times (``reuse``) is checkpointed.
     """
     counts = score_counts(df, keys, label, score)
     o = Ordered(counts, keys, ["score"], halo=1, rows_per_slice=rows_per_slice, aggregated=True)
@@ -81,13 +83,14 @@ def curve(
     ends = F.col("__lp").isNull() | ((F.col("__cp") == F.col("p")) & (F.col("__cn") == F.col("n")))
     bends = (F.col("__lp") != F.col("pos")) | (F.col("__ln") != F.col("neg"))
     out = out.withColumns({"tps": tps, "fps": fps, "corner": ends | bends}).drop("__lp", "__ln", "__cp", "__cn")
-    return out.withColumns(
+    out = out.withColumns(
         {
             "precision": F.col("tps") / (F.col("tps") + F.col("fps")),
             "recall": divide(F.col("tps"), F.col("p"), None),
             "fpr": divide(F.col("fps"), F.col("n"), None),
         }
     )
+    return cut_lineage(out) if reuse and o.sliced else out
 
 
 def areas(curve_df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.decision import regularity_level, stability_level
 from ..functions.numeric import EPS, finite, ratio_or_null
 from ..functions.times import micros
 from .columns import q
-from .ordered import Ordered
+from .ordered import Ordered, bounded_broadcast
 
 
 def sliding_sequences(
@@ -76,7 +76,8 @@ def recent_windows(
     """Cases (keys, position) with the ordered array ``window`` of the up to ``length`` rows ending there.
 
     A case asks for at most ``length`` positions, each a key of its own, so even
-    a huge source spreads over the join.
+    a huge source spreads over the join; few cases are broadcast and the rows
+    stay where they are.
     """
     wanted = cases.select(*keys, F.col(position).alias("__case")).withColumn(
         "__pos", F.explode(F.sequence(F.greatest(F.col("__case") - (length - 1), F.lit(0)), F.col("__case")))
@@ -84,7 +85,7 @@ def recent_windows(
     found = rows.select(*keys, F.col(position).alias("__pos"), *[c.alias(n) for n, c in columns.items()])
     item = F.struct(F.col("__pos"), *[F.col(n) for n in columns])
     windows = (
-        wanted.join(found, [*keys, "__pos"])
+        found.join(bounded_broadcast(wanted), [*keys, "__pos"])
         .groupBy(*keys, "__case")
         .agg(F.array_sort(F.collect_list(item)).alias("window"))
         .withColumnRenamed("__case", position)

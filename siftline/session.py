@@ -8,8 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def session(app_name: str = "siftline", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution, skew-join splitting and UTC timestamps."""
+def session(
+    app_name: str = "siftline", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with adaptive execution, skew-join splitting and UTC timestamps.
+
+    ``input_bytes`` sizes shuffles: partitions start at about 128 MB of input
+    each and adaptive execution merges those that turn out small.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -19,8 +25,10 @@ def session(app_name: str = "siftline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **conf,
     }
+    if input_bytes:
+        settings["spark.sql.shuffle.partitions"] = str(max(200, input_bytes // (128 * 1024 * 1024)))
+    settings |= conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
