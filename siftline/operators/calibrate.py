@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import close, next_up
 from .metrics import curve, rates
-from .ordered import bounded_broadcast, exact_quantiles, is_small, lookup_hint, scalars
+from .ordered import bounded_broadcast, exact_quantiles, is_small, scalars
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -76,9 +76,10 @@ def best_f1(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 def evaluate_thresholds(points: DataFrame, thresholds: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
     """Counts and rates of several thresholds (keys, method, threshold), from the curve instead of the rows."""
     if keys:
-        pairs = points.join(F.broadcast(thresholds), list(keys))
+        pairs = points.join(thresholds if is_small(points) else bounded_broadcast(thresholds), list(keys))
     else:
-        pairs = points.withColumn("__k", F.lit(0)).join(F.broadcast(thresholds.withColumn("__k", F.lit(0))), "__k")
+        listed = scalars(thresholds.agg(F.collect_list(F.struct("method", "threshold")).alias("l")))["l"]
+        pairs = points.withColumn("__l", listed).select("*", F.inline("__l")).drop("__l")
     hit = (F.col("score") > F.col("threshold")) if strict else (F.col("score") >= F.col("threshold"))
     count = lambda c, on: F.sum(F.when(on, F.col(c)).otherwise(0)).cast("long")
     counts = pairs.groupBy(*keys, "method", "threshold").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
 from ..session import cut_lineage
-from .ordered import Ordered, scalars, unpivot
+from .ordered import Ordered, lookup_hint, scalars, unpivot
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall_tpr", "specificity_tnr", "fpr", "fnr", "f1", "f2", "mcc"]
 
@@ -133,7 +133,7 @@ def histogram(df: DataFrame, label: str, score: str, bins: int = 50) -> DataFram
     )
     counts = (
         df.select(label, score)
-        .join(F.broadcast(spans), label)
+        .join(lookup_hint(df, [label])(spans), label)
         .groupBy(label, b.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

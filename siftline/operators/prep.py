@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import number_from_text, robust_scale, signed_log1p
 from .columns import q
-from .ordered import exact_quantiles, unpivot
+from .ordered import bounded_broadcast, exact_quantiles, scalars, unpivot
 
 
 def medians(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +91,7 @@ def fold_impute(df: DataFrame, fold: str, features: Sequence[str], folds: Sequen
     fitted = medians(train, features, ["__fold"])
     wide = fitted.groupBy("__fold").pivot("feature", list(features)).agg(F.first("median"))
     wide = wide.select(F.col("__fold").alias("__f"), *[q(f).alias(f"__m_{f}") for f in features])
-    joined = df.join(F.broadcast(wide), df[fold] == F.col("__f"), "left")
+    joined = df.join(bounded_broadcast(wide), df[fold] == F.col("__f"), "left")
     return joined.withColumns({f"{f}_imputed": F.coalesce(q(f), q(f"__m_{f}")) for f in features}).drop(
         "__f", *[f"__m_{f}" for f in features]
     )
@@ -111,13 +111,8 @@ def class_weights(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFr
     """Balanced weight per class: n / (classes * n_class)."""
     per = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     if not keys:
-        total = scalars_total(per)
+        total = scalars(per.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")))
         return per.select(label, "n", (total["t"] / (total["c"] * F.col("n"))).alias("weight"))
     totals = per.groupBy(*keys).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c"))
     return per.join(totals, list(keys)).select(*keys, label, "n", (F.col("t") / (F.col("c") * F.col("n"))).alias("weight"))
 
-
-def scalars_total(per: DataFrame):
-    from .ordered import scalars
-
-    return scalars(per.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.cascade import Rule, three_score, two_score
 from ..functions.numeric import EPS, next_up
+from ..session import cut_lineage
 from .metrics import confusion, rates
-from .ordered import exact_quantiles
+from .ordered import bounded_broadcast, exact_quantiles, unpivot
 
 
 def _sorted_distinct(values: Column, low: float, high: float | None = None) -> Column:
@@ -76,6 +77,32 @@ def _spread(cells: DataFrame, keys: Sequence[str], dim: str, size: Column, other
     )
 
 
+def _candidates(
+    df: DataFrame, keys: Sequence[str], label: str, primary: str, threshold: float, others: Mapping[str, tuple[str, float]]
+) -> DataFrame:
+    """One row per key: array ``cutoffs``, an array per further score (name -> score, own threshold), rescue thresholds.
+
+    All quantiles come from one pass over the routed rows.
+    """
+    probs = sorted({*K.CUTOFF_QUANTILES, *K.CONFIRM_QUANTILES})
+    scores = [primary, *[score for score, _ in others.values()]]
+    routed = unpivot(df.where(F.col(primary) >= threshold), keys, scores, "__score", "__value")
+    got = exact_quantiles(routed, [*keys, "__score"], "__value", probs)
+    pick = lambda score, wanted: F.max(
+        F.when(F.col("__score") == score, F.array(*[F.col("q")[probs.index(p)] for p in wanted]))
+    )
+    wide = got.groupBy(*keys).agg(
+        pick(primary, K.CUTOFF_QUANTILES).alias("cutoffs"),
+        *[pick(score, K.CONFIRM_QUANTILES).alias(name) for name, (score, _) in others.items()],
+    )
+    fixed = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    arrays = {"cutoffs": _sorted_distinct(F.concat(fixed(threshold), "cutoffs"), float(threshold) - EPS)}
+    for name, (_, own) in others.items():
+        arrays[name] = _sorted_distinct(F.concat(fixed(0, own, 1), name), -EPS, 1.0 + EPS)
+    rescue = rescue_thresholds(df, keys, label, primary, threshold, dict(others.values()))
+    return cut_lineage(wide.withColumns(arrays).join(rescue, list(keys)))
+
+
 def search_three_score(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,22 +112,21 @@ def search_three_score(
 ) -> DataFrame:
     """Counts and rates of every rule, with the primary-only baseline and a ``safe`` flag.
 
-    Safe rules do not worsen FPR or FNR and strictly raise F1.
+    Safe rules do not worsen FPR or FNR and strictly raise F1.  The rows are
+    read three times (quantiles, rescue limits, cells); everything after works
+    on the cells, whose number the candidate lists bound.
     """
     primary, second, third = scores
     t1, t2, t3 = (float(t) for t in thresholds)
-    cands = cutoff_candidates(df, keys, primary, t1)
-    cands = cands.join(confirm_candidates(df, keys, primary, t1, second, t2, "seconds"), list(keys))
-    cands = cands.join(confirm_candidates(df, keys, primary, t1, third, t3, "thirds"), list(keys))
-    cands = cands.join(rescue_thresholds(df, keys, label, primary, t1, {second: t2, third: t3}), list(keys))
+    cands = _candidates(df, keys, label, primary, t1, {"seconds": (second, t2), "thirds": (third, t3)})
 
-    rows = df.select(*keys, label, *scores).join(F.broadcast(cands), list(keys))
+    rows = df.select(*keys, label, *scores).join(bounded_broadcast(cands), list(keys))
     p, s, t = (F.col(c) for c in scores)
     positive = p >= t1
     rescued = ~positive & (s >= F.col(f"{second}_rescue")) & (t >= F.col(f"{third}_rescue"))
     # index of the first cutoff that routes the row, and of the first confirm threshold it fails
     first_cut = F.size("cutoffs") - F.size(F.filter("cutoffs", lambda c: p <= c + EPS))
-    cells = (
+    cells = cut_lineage(
         rows.groupBy(
             *keys,
             positive.alias("positive"),
@@ -108,8 +134,7 @@ def search_three_score(
             F.when(positive, first_cut).alias("a"),
             F.when(positive, _reached(s, F.col("seconds"))).alias("b"),
             F.when(positive, _reached(t, F.col("thirds"))).alias("c"),
-        )
-        .agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
+        ).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
     )
     sizes = cands.select(*keys, F.size("cutoffs").alias("na"), F.size("seconds").alias("nb"), F.size("thirds").alias("nc"))
     base = cells.groupBy(*keys).agg(
@@ -125,7 +150,7 @@ def search_three_score(
             )
         ]
     )
-    grid = cells.where("positive").join(F.broadcast(sizes), list(keys))
+    grid = cells.where("positive").join(bounded_broadcast(sizes), list(keys))
     size_cols = ["na", "nb", "nc"]
     by_a = _spread(grid, keys, "a", F.col("na"), ["b", "c", *size_cols])
     by_ab = _spread(by_a, keys, "b", F.col("nb"), ["a", "c", *size_cols])
@@ -208,7 +233,7 @@ def select_rule(rules: DataFrame, keys: Sequence[str], disabled_fallback: bool =
 def apply_rule(df: DataFrame, selected: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
     """Frozen cascade with each key's selected rule: adds baseline, prediction and route."""
     rule = selected.select(*keys, *RULE_FIELDS, "enabled")
-    joined = df.join(F.broadcast(rule), list(keys), "left")
+    joined = df.join(bounded_broadcast(rule), list(keys), "left")
     got = three_score(*[F.col(s) for s in scores], Rule.from_columns())
     on = F.col("enabled")
     return joined.withColumns(
@@ -224,18 +249,18 @@ def search_two_score(
     df: DataFrame, keys: Sequence[str], label: str, primary: str, second: str, t1: float, t2: float
 ) -> DataFrame:
     """Every rule of the two-score cascade, with counts, rates and ``safe``."""
-    cands = cutoff_candidates(df, keys, primary, t1)
-    cands = cands.join(confirm_candidates(df, keys, primary, t1, second, t2, "seconds"), list(keys))
-    cands = cands.join(rescue_thresholds(df, keys, label, primary, t1, {second: t2}), list(keys))
-    rows = df.select(*keys, label, primary, second).join(F.broadcast(cands), list(keys))
+    cands = _candidates(df, keys, label, primary, float(t1), {"seconds": (second, float(t2))})
+    rows = df.select(*keys, label, primary, second).join(bounded_broadcast(cands), list(keys))
     p, s = F.col(primary), F.col(second)
     positive = p >= float(t1)
     rescued = ~positive & (s >= F.col(f"{second}_rescue"))
     first_cut = F.size("cutoffs") - F.size(F.filter("cutoffs", lambda c: p <= c + EPS))
-    cells = rows.groupBy(
-        *keys, positive.alias("positive"), rescued.alias("rescued"),
-        F.when(positive, first_cut).alias("a"), F.when(positive, _reached(s, F.col("seconds"))).alias("b"),
-    ).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
+    cells = cut_lineage(
+        rows.groupBy(
+            *keys, positive.alias("positive"), rescued.alias("rescued"),
+            F.when(positive, first_cut).alias("a"), F.when(positive, _reached(s, F.col("seconds"))).alias("b"),
+        ).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
+    )
     flag = lambda cond, n, out: F.sum(F.when(cond, F.col(n)).otherwise(0)).alias(out)
     base = cells.groupBy(*keys).agg(
         flag(~F.col("positive"), "n0", "tn0"), flag(F.col("positive"), "n0", "fp0"),
@@ -243,7 +268,7 @@ def search_two_score(
         flag(F.col("rescued"), "n0", "r0"), flag(F.col("rescued"), "n1", "r1"),
     )
     sizes = cands.select(*keys, F.size("cutoffs").alias("na"), F.size("seconds").alias("nb"))
-    grid = cells.where("positive").join(F.broadcast(sizes), list(keys))
+    grid = cells.where("positive").join(bounded_broadcast(sizes), list(keys))
     by_a = _spread(grid, keys, "a", F.col("na"), ["b", "na", "nb"])
     by_ab = _spread(by_a, keys, "b", F.col("nb"), ["a", "na"])
     routed = by_a.groupBy(*keys, "a").agg(F.sum(F.col("n0") + F.col("n1")).alias("routed"))
@@ -290,7 +315,7 @@ def apply_two_score_rule(
     """Frozen two-score decision; keys without a selected rule keep the primary decision."""
     fields = ["positive_filter_cutoff", "second_confirm_threshold", "second_rescue_threshold"]
     rule = selected.select(*keys, *[F.col(f).alias(f"__{f}") for f in fields])
-    joined = df.join(F.broadcast(rule), list(keys), "left")
+    joined = df.join(bounded_broadcast(rule), list(keys), "left")
     got = two_score(
         F.col(primary), F.col(second), float(threshold), *[F.col(f"__{f}") for f in fields],
         enabled=F.col(f"__{fields[0]}").isNotNull(),
