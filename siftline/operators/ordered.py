@@ -5,8 +5,8 @@ holds a third of the table that task never ends, so here the rows of a large
 key are first cut into contiguous slices of bounded size:
 
 1. a hash sample of the ordering columns gives cut points for the large keys
-   only (about one cut point per ``rows_per_slice`` rows of the whole table,
-   which is the size bound of everything broadcast here);
+   only: about one cut point per ``rows_per_slice`` rows of the whole table,
+   which bounds everything broadcast or collected here;
 2. every row finds its slice by binary search, map-side;
 3. rows just before a cut are also copied into the next slice ("halo"), so
    frames that look a few rows back stay exact;
@@ -65,10 +65,18 @@ def scalars(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
 
 
-def _order_key(order: Sequence[str]) -> Column:
+def _sortable(df: DataFrame, name: str) -> Column:
+    """Order column in a type whose JSON text is exact."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.unix_date(name) if kind == "date" else F.col(name)
+
+
+def _order_key(df: DataFrame, order: Sequence[str]) -> Column:
     parts = []
     for i, name in enumerate(order):
-        parts += [F.col(name).isNull().alias(f"n{i}"), F.col(name).alias(f"v{i}")]
+        parts += [F.col(name).isNull().alias(f"n{i}"), _sortable(df, name).alias(f"v{i}")]
     return F.struct(*parts)
 
 
@@ -107,54 +115,76 @@ class Ordered:
             df = cut_lineage(df)
             self.sliced = rows_per_slice is not None or df.count() > ROWS_PER_SLICE
         self._running = 0
+        self.frame = df
         if self.sliced:
-            self.frame = self._cut(df, rows_per_slice or ROWS_PER_SLICE)
-        else:
-            self.frame = df
+            self._cut(rows_per_slice or ROWS_PER_SLICE)
         self._rows = self.frame
 
     # -- slicing -----------------------------------------------------------
 
-    def _cut(self, df: DataFrame, rows_per_slice: int) -> DataFrame:
+    def _cut_points(self, rows_per_slice: int) -> list:
+        """Rows (keys, JSON of slice start and halo start) in key and slice order, for the large keys only."""
         keys, halo = self.keys, self.halo
         spacing = max(halo + 1, min(max(64, 32 * halo), rows_per_slice))
         stride = max(1, rows_per_slice // spacing)
-        sample = df.where(F.pmod(F.xxhash64(*keys, *self.order), F.lit(stride)) == 0).select(
-            *keys, _order_key(self.order).alias("__o")
+        sample = self.frame.where(F.pmod(F.xxhash64(*keys, *self.order), F.lit(stride)) == 0).select(
+            *keys, _order_key(self.frame, self.order).alias("start")
         )
-        by_key = Window.partitionBy(*keys).orderBy("__o")
+        by_key = Window.partitionBy(*keys).orderBy("start")
         cuts = (
             sample.withColumn("__rn", F.row_number().over(by_key))
-            .withColumn("__h", F.lag("__o", halo).over(by_key) if halo else F.col("__o"))
+            .withColumn("halo", F.lag("start", halo).over(by_key) if halo else F.col("start"))
             .where(F.col("__rn") % spacing == 0)
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("start"), F.col("__h").alias("halo")))).alias("__cuts"))
         )
-        cuts = cuts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts")
+        self._cut_type = cuts.select(F.array(F.struct("start", "halo")).alias("c")).schema["c"].dataType
+        text = F.to_json(F.struct("start", "halo"), {"ignoreNullFields": "false"})
+        return cuts.select(*keys, "__rn", text.alias("__cut")).orderBy(*keys, "__rn").collect()
+
+    def _cut(self, rows_per_slice: int) -> None:
+        """Adds __slice, __halo and __hot; without large keys the plain window stays.
+
+        There is about one cut point per ``rows_per_slice`` rows of the table.
+        All of them form one constant of the plan; a row only carries where the
+        cut points of its key begin and how many there are.
+        """
+        cuts = self._cut_points(rows_per_slice)
+        if not cuts:
+            self.sliced = False
+            return
+        df, keys = self.frame, self.keys
+        first: dict[tuple, int] = {}
+        count: dict[tuple, int] = {}
+        for i, row in enumerate(cuts):
+            key = tuple(row[k] for k in keys)
+            first.setdefault(key, i)
+            count[key] = count.get(key, 0) + 1
+        kinds = ", ".join(f"__k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+        hot = df.sparkSession.createDataFrame(
+            [(*key, at, count[key]) for key, at in first.items()], f"{kinds}, __at int, __n int"
+        )
         match = _and([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-        cut = df.join(F.broadcast(cuts), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        cut = df.join(F.broadcast(hot), match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
-        own = _order_key(self.order)
+        constant = F.from_json(F.lit("[" + ",".join(row["__cut"] for row in cuts) + "]"), self._cut_type)
+        point = lambda i, part: F.get(constant, i)[part]
+        own = F.col("__o")
         # powers of two up to the number of cuts, largest first
-        every = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
-        steps = F.slice(every, -F.length(F.bin(F.size("__cuts"))), F.length(F.bin(F.size("__cuts"))))
-        cut = cut.withColumn("__o", own).withColumn(
-            "__slice",
-            F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(
-                F.aggregate(
-                    steps,
-                    F.lit(0),
-                    lambda pos, step: F.when(
-                        (pos + step <= F.size("__cuts"))
-                        & (F.get(F.col("__cuts"), pos + step - 1)["start"] <= F.col("__o")),
-                        pos + step,
-                    ).otherwise(pos),
-                )
-            ),
+        width = F.length(F.bin("__n"))
+        steps = F.slice(F.array(*[F.lit(s) for s in _SEARCH_STEPS]), -width, width)
+        search = F.aggregate(
+            steps,
+            F.lit(0),
+            lambda pos, step: F.when(
+                (pos + step <= F.col("__n")) & (point(F.col("__at") + pos + step - 1, "start") <= own), pos + step
+            ).otherwise(pos),
+        )
+        cut = cut.withColumn("__o", _order_key(df, self.order)).withColumn(
+            "__slice", F.when(F.col("__n").isNull(), F.lit(0)).otherwise(search)
         )
-        cut = cut.withColumn("__hot", F.col("__cuts").isNotNull())
-        if halo:
-            follows = F.get(F.col("__cuts"), F.col("__slice"))["halo"] <= F.col("__o")
+        cut = cut.withColumn("__hot", F.col("__n").isNotNull())
+        if self.halo:
+            # the slice after this one starts at cut number __slice of the key
+            follows = (F.col("__slice") < F.col("__n")) & (point(F.col("__at") + F.col("__slice"), "halo") <= own)
             here = F.struct(F.col("__slice").alias("s"), F.lit(False).alias("h"))
             after = F.struct((F.col("__slice") + 1).alias("s"), F.lit(True).alias("h"))
             cut = cut.withColumn(
@@ -163,7 +193,7 @@ class Ordered:
             cut = cut.withColumn("__slice", F.col("__copy.s")).withColumn("__halo", F.col("__copy.h")).drop("__copy")
         else:
             cut = cut.withColumn("__halo", F.lit(False))
-        return cut.drop("__cuts", "__o")
+        self.frame = cut.drop("__o", "__at", "__n")
 
     def _parts(self) -> list[str]:
         return self.keys + (["__slice"] if self.sliced else [])
