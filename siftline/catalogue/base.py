@@ -105,7 +105,12 @@ def query(key: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if key in QUERIES:
             raise ValueError(f"query {key} registered twice")
-        QUERIES[key] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return rounded(fn(spark, sf_dir))
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = with_views(sql)
         return fn
