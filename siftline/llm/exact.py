@@ -58,13 +58,11 @@ def frequent_digests(hashed: DataFrame, counters: int = COUNTERS) -> DataFrame:
         hashed.select("digest").mapInPandas(_summaries(counters), "digest binary, seen long")
         .groupBy("digest").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "digest").limit(counters)
     )
-    total = hashed.agg(F.count("*").alias("total"))
+    total = hashed.count()
     return (
         hashed.join(F.broadcast(candidates.select("digest")), "digest")
         .groupBy("digest").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("group_size") * F.lit(counters + 1) > F.col("total"))
-        .drop("total")
+        .where(F.col("group_size") * (counters + 1) > total)
     )
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, packing, sentencepieces
-from siftline.llm.tables import documents
+from siftline.llm import exact, html, packing, pii, quality, secrets, sentencepieces
+from siftline.llm.tables import documents, pages
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,26 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(pii.find_pii(documents(spark, sf_dir)))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(pages(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_packing, op6_sentencepiece)
+    f.__name__: f for f in (
+        op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules, op10_secret_scan,
+    )
 }
 
 SQL: dict[str, str] = {
