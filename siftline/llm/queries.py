@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, html, packing, pii, quality, secrets, sentencepieces
+from siftline.llm import exact, html, licenses, packing, pii, quality, secrets, sentencepieces
 from siftline.llm.tables import documents, pages
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -44,7 +48,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules, op10_secret_scan,
+        op1_license_scan, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules,
+        op10_secret_scan,
     )
 }
 
