@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, html, licenses, packing, pii, quality, secrets, sentencepieces
+from siftline.llm import exact, html, jaccard, licenses, packing, pii, quality, secrets, sentencepieces
 from siftline.llm.tables import documents, pages
 
 
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules,
+        op1_license_scan, op2_ngram_jaccard, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules,
         op10_secret_scan,
     )
 }
