@@ -3,7 +3,7 @@
 A window of ``WINDOW`` bytes is represented by the leftmost smallest hash of
 the ``GRAM``-byte strings inside it.  Equal windows have equal anchors at equal
 offsets, so repeated windows are found by comparing anchors instead of
-positions; there is about one anchor for every 80 bytes.
+positions; there is about one anchor for every 75 bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 200
-GRAM = 40
+GRAM = 20
 
 _RANDOM = np.random.default_rng(20260101)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -103,5 +103,5 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     keyed = df.withColumn("_digest", F.sha2(normalised(text_col), 256))
     return keyed.join(
-        dropped, keyed[id_col].eqNullSafe(dropped["_gone_id"]) & (keyed["_digest"] == dropped["_gone_text"]), "left_anti"
+        dropped.hint("merge"), keyed[id_col].eqNullSafe(dropped["_gone_id"]) & (keyed["_digest"] == dropped["_gone_text"]), "left_anti"
     ).drop("_digest")

@@ -255,10 +255,9 @@ def jaccard_components(
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(1, int(total * float(overlap.prefix(1000)) / 1000) // TASK_HASHES)
-    # One row of each class takes part, so that copies do not count as partners.
-    first = full.join(classes.select("class_id").hint("merge"), full["doc_id"] == F.col("class_id"), "left_semi")
+    # Copies have one owner, so they do not count as partners of each other.
     shared = (
-        first.select(owner, "prefix").mapInPandas(_dealt(ranges), "part int, hashes binary, owners binary")
+        full.select(owner, "prefix").mapInPandas(_dealt(ranges), "part int, hashes binary, owners binary")
         .groupBy("part").applyInPandas(_shared(ranges), "owner long, shared long")
         .groupBy("owner").agg(F.sum("shared").alias("shared"))
     )
@@ -301,4 +300,4 @@ def one_of_each(df: DataFrame, size: int = 5, share: Fraction = Fraction(8, 10),
     """The rows with the smallest id of their component, with all their columns; rows without an id stay."""
     found = jaccard_components(df, size, share, id_col, text_col)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    return df.join(gone.hint("merge"), df[id_col] == gone["_gone"], "left_anti")

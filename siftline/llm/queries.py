@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, html, jaccard, licenses, packing, pii, quality, secrets, sentencepieces
+from siftline.llm import exact, html, jaccard, licenses, packing, pii, quality, secrets, sentencepieces, substrings
 from siftline.llm.tables import documents, pages
 
 
@@ -19,6 +19,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(substrings.remove_repeats(documents(spark, sf_dir)))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -52,8 +56,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op2_ngram_jaccard, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii, op8_html_extraction, op9_quality_rules,
-        op10_secret_scan,
+        op1_license_scan, op2_ngram_jaccard, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii,
+        op8_html_extraction, op9_quality_rules, op10_secret_scan,
     )
 }
 
