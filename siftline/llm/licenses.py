@@ -131,7 +131,8 @@ def license_spans(
     )
     spans = phrase.union(drifting)
     per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans"))
-    again = texts.join(per_text, (texts["doc_id"].eqNullSafe(per_text["doc_id"])) & (texts["text_key"] == per_text["text_key"])).select(
+    # The texts are shuffled at any size: found documents grow with the corpus, so they are never broadcast.
+    again = texts.join(per_text.hint("merge"), (texts["doc_id"].eqNullSafe(per_text["doc_id"])) & (texts["text_key"] == per_text["text_key"])).select(
         texts["doc_id"], texts["text_key"], words("text").alias("words"), "spans"
     ).dropDuplicates(["doc_id", "text_key"])
     own = F.transform("spans", lambda x: F.struct(
