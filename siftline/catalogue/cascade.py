@@ -31,17 +31,17 @@ def frozen(df):
 
 
 def score_frames(spark, d):
-    df = temporal.source_positions(flows(spark, d).where("split = 'test'"), ["split", "source_file"], "ts", "row_id")
+    df = temporal.source_positions(flows(spark, d), ["split", "source_file"], "ts", "row_id")
     keys = ["source_file", "position", "label"]
     return {m: df.select(*keys, f"{m}_probability") for m in ("lstm", "litemv", "rf")}
 
 
-@query("J1", f"""WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows) SELECT source_file, position, label, {r('lstm_probability')} AS lstm_probability, {r('litemv_probability')} AS litemv_probability, {r('rf_probability')} AS rf_probability FROM p WHERE split = 'test'""")
+@query("J1", f"""WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows) SELECT source_file, position, label, {r('lstm_probability')} AS lstm_probability, {r('litemv_probability')} AS litemv_probability, {r('rf_probability')} AS rf_probability FROM p""")
 def j1(spark, d):
     return alignment.align_scores(score_frames(spark, d), ["source_file", "position"], "label")
 
 
-@query("J1_checks", f"""WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows) SELECT source_file, position, CAST(1 AS BIGINT) AS n_lstm, CAST(CASE WHEN position % 10 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n_litemv, CAST(1 AS BIGINT) AS n_rf, position % 7 = 5 AS labels_differ FROM p WHERE split = 'test' AND (position % 10 = 3 OR position % 7 = 5)""")
+@query("J1_checks", f"""WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows) SELECT source_file, position, CAST(1 AS BIGINT) AS n_lstm, CAST(CASE WHEN position % 10 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n_litemv, CAST(1 AS BIGINT) AS n_rf, position % 7 = 5 AS labels_differ FROM p WHERE position % 10 = 3 OR position % 7 = 5""")
 def j1_checks(spark, d):
     frames = score_frames(spark, d)
     frames["litemv"] = frames["litemv"].where("position % 10 <> 3")
@@ -50,31 +50,31 @@ def j1_checks(spark, d):
     return alignment.alignment_violations(frames, ["source_file", "position"], "label")
 
 
-@query("J2", """WITH a AS (SELECT row_id, lstm_probability AS p, row_number() OVER (PARTITION BY source_file, dst_ip, CAST(ts AS DATE), label ORDER BY -row_id) AS k, source_file, dst_ip, CAST(ts AS DATE) AS dy, label FROM flows WHERE row_id % 3 <> 0),
+@query("J2", """WITH a AS (SELECT row_id, lstm_probability AS p, row_number() OVER (PARTITION BY source_file, dst_ip, CAST(ts AS DATE), label ORDER BY -row_id) AS k, source_file, dst_ip, CAST(ts AS DATE) AS dy, label FROM flows),
 b AS (SELECT row_id, row_number() OVER (PARTITION BY source_file, dst_ip, CAST(ts AS DATE), label ORDER BY row_id) AS k, source_file, dst_ip, CAST(ts AS DATE) AS dy, label FROM flows)
 SELECT a.row_id AS prediction_id, b.row_id AS row_id FROM a LEFT JOIN b USING (source_file, dst_ip, dy, label, k)""")
 def j2(spark, d):
     df = flows(spark, d).withColumn("day", F.date_trunc("day", "ts"))
     cols = ["source_file", "dst_ip", "day", "label"]
-    predictions = df.where("row_id % 3 <> 0").select(F.col("row_id").alias("prediction_id"), (-F.col("row_id")).alias("o"), *cols)
+    predictions = df.select(F.col("row_id").alias("prediction_id"), (-F.col("row_id")).alias("o"), *cols)
     got = alignment.match_occurrences(
         predictions, df.select("row_id", *cols), source="source_file", ts="day", label="label", prediction_order="o", row_id="row_id", flow_id="dst_ip",
     )
     return got.select("prediction_id", "row_id")
 
 
-@query("J3", f"WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows WHERE split = 'test') SELECT source_file, position, {r('lstm_probability')} AS lstm_probability, {r('fwd_len_mean')} AS fwd_len_mean, CAST(fwd_len_std AS INT) AS fwd_len_std FROM p")
+@query("J3", f"WITH p AS (SELECT *, {SQL_POSITION} AS position FROM flows) SELECT source_file, position, {r('lstm_probability')} AS lstm_probability, {r('fwd_len_mean')} AS fwd_len_mean, CAST(fwd_len_std AS INT) AS fwd_len_std FROM p")
 def j3(spark, d):
-    rows = temporal.source_positions(flows(spark, d).where("split = 'test'"), ["split", "source_file"], "ts", "row_id")
+    rows = temporal.source_positions(flows(spark, d), ["split", "source_file"], "ts", "row_id")
     return alignment.attach(
         score_frames(spark, d)["lstm"].drop("label"), rows, ["source_file", "position"], ["fwd_len_mean", "fwd_len_std"]
     )
 
 
-@query("J4", "SELECT split, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM flows WHERE row_id % 2 = 0 GROUP BY 1")
+@query("J4", "SELECT split, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM flows GROUP BY 1")
 def j4(spark, d):
     df = flows(spark, d)
-    manifest = df.where("row_id % 2 = 0").select("row_id", "split")
+    manifest = df.select("row_id", "split")
     got = alignment.apply_manifest(df.drop("split"), manifest, "row_id", "split")
     return got.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"))
 
@@ -153,29 +153,30 @@ def a29(spark, d):
 def j11(spark, d):
     df = flows(spark, d)
     return alignment.support_percentiles(
-        df.where("split = 'validation'"), df.where("split = 'test'"), ["dst_ip"], "fwd_len_mean", "share", rows_per_slice=50
+        df.where("split = 'validation'"), df.where("split = 'test'"), ["dst_ip"], "fwd_len_mean", "share"
     ).select("row_id", "share")
 
 
-@query("U1", "SELECT split, count(*) AS n FROM flows WHERE split <> 'train' GROUP BY 1")
+@query("U1", "SELECT split, count(*) AS n FROM flows GROUP BY 1")
 def u1(spark, d):
     df = flows(spark, d)
-    return df.where("split = 'test'").unionByName(df.where("split = 'validation'").select(*reversed(df.columns))).groupBy("split").agg(
+    parts = [df.where(F.col("split") == s) for s in ("train", "validation", "test")]
+    return parts[0].unionByName(parts[1].select(*reversed(df.columns))).unionByName(parts[2]).groupBy("split").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-@query("U2", "WITH a AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'click' AND row_id % 20 < 3), b AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'view' AND row_id % 20 < 3) SELECT user_id, CASE WHEN a.user_id IS NULL THEN 'right_only' WHEN b.user_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM a FULL JOIN b USING (user_id)")
+@query("U2", "WITH a AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'click'), b AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'view') SELECT user_id, CASE WHEN a.user_id IS NULL THEN 'right_only' WHEN b.user_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM a FULL JOIN b USING (user_id)")
 def u2(spark, d):
     return alignment.set_difference(*_two_sets(spark, d), "user_id")
 
 
 def _two_sets(spark, d):
-    df = flows(spark, d).where("row_id % 20 < 3")
+    df = flows(spark, d)
     return tuple(df.where(F.col("dst_ip") == x).select("user_id").distinct() for x in ("click", "view"))
 
 
-@query("U3", f"WITH a AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'click' AND row_id % 20 < 3), b AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'view' AND row_id % 20 < 3), c AS (SELECT a.user_id IS NOT NULL AND b.user_id IS NOT NULL AS x FROM a FULL JOIN b ON a.user_id = b.user_id) SELECT count(*) FILTER (WHERE x) AS n_both, count(*) AS n_union, {r('CAST(count(*) FILTER (WHERE x) AS DOUBLE) / count(*)')} AS jaccard FROM c")
+@query("U3", f"WITH a AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'click'), b AS (SELECT DISTINCT user_id FROM flows WHERE dst_ip = 'view'), c AS (SELECT a.user_id IS NOT NULL AND b.user_id IS NOT NULL AS x FROM a FULL JOIN b ON a.user_id = b.user_id) SELECT count(*) FILTER (WHERE x) AS n_both, count(*) AS n_union, {r('CAST(count(*) FILTER (WHERE x) AS DOUBLE) / count(*)')} AS jaccard FROM c")
 def u3(spark, d):
     return alignment.jaccard(*_two_sets(spark, d), "user_id")
 

@@ -118,7 +118,7 @@ def p9(spark, d):
 
 @query("P10", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events")
 def p10(spark, d):
-    return temporal.row_ids(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], rows_per_slice=1000).drop("ts")
+    return temporal.row_ids(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"]).drop("ts")
 
 
 def _wide(c):

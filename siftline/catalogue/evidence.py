@@ -18,12 +18,12 @@ CONTEXT = ["fwd_len_mean", "fwd_len_std", "flow_iat_std"]
 RAW = sql_number("bytes_per_s_raw")
 
 
-def scored_test(spark, d, rows_per_slice=None):
+def scored_test(spark, d):
     """Test rows with frozen route, positions, and strengths against the validation rows."""
     df = frozen(flows(spark, d))
     df = temporal.source_positions(df, ["split", "source_file"], "ts", "row_id")
     test, validation = df.where("split = 'test'"), df.where("split = 'validation'")
-    return alignment.add_strengths(test, validation, MODELS, rows_per_slice)
+    return alignment.add_strengths(test, validation, MODELS)
 
 
 def _margin(m, t):
@@ -51,7 +51,7 @@ SQL_STRENGTHS = _strength_sql()
 @query("W9_strengths", f"{SQL_STRENGTHS} SELECT row_id, {', '.join(f'{m}_pred, {r(f'{m}_percentile')} AS {m}_percentile, {m}_strength' for m in MODELS)}, {r('weakest_percentile')} AS weakest_percentile FROM st")
 def w9_strengths(spark, d):
     cols = [c for m in MODELS for c in (f"{m}_pred", f"{m}_percentile", f"{m}_strength")]
-    return scored_test(spark, d, rows_per_slice=100).select("row_id", *cols, "weakest_percentile")
+    return scored_test(spark, d).select("row_id", *cols, "weakest_percentile")
 
 
 @query("X9", f"""{SQL_STRENGTHS} SELECT row_id, 'final-union' AS mode, escalation_reason FROM hc UNION ALL SELECT row_id, 'weak-confirmed-only', targeted FROM rs WHERE targeted IS NOT NULL UNION ALL SELECT row_id, 'legacy', hard FROM rs WHERE hard IS NOT NULL
@@ -146,43 +146,46 @@ def _deviation_sql():
     return " UNION ALL ".join(parts)
 
 
-SQL_TOP = f"""SELECT row_id, CAST(k - 1 AS INT) AS place, feature, CASE WHEN v >= 0 THEN 'ABOVE_BENIGN_BASELINE' ELSE 'BELOW_BENIGN_BASELINE' END AS direction, {r('abs(v)')} AS deviation FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, i) AS k FROM ({_deviation_sql()}) WHERE v IS NOT NULL) WHERE k <= 2"""
+SQL_TOP = f"""SELECT row_id, CAST(k - 1 AS INT) AS place, feature, CASE WHEN v >= 0 THEN 'ABOVE_BENIGN_BASELINE' ELSE 'BELOW_BENIGN_BASELINE' END AS direction, {r('abs(v)')} AS deviation FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, i) AS k FROM ({_deviation_sql()}) WHERE v IS NOT NULL) WHERE k <= 5"""
 
 
 @query("R3", SQL_TOP)
 def r3(spark, d):
     df = jobs.deviations(flows(spark, d).where("split = 'test'"), baseline(spark, d))
-    top = ev.strongest_deviations(F.col("deviations"), 2)
+    top = ev.strongest_deviations(F.col("deviations"), K.DEVIATION_TOP_K)
     return df.select("row_id", F.posexplode(top).alias("place", "x")).select(
         "row_id", "place", "x.feature", "x.direction", F.col("x.absolute_robust_deviation").alias("deviation")
     )
 
 
-def evidence(spark, d, rows_per_slice=None):
+def evidence(spark, d):
     return jobs.evidence_cases(
         scored_test(spark, d), keys=["split", "source_file"], position="position", ts="ts", features=CONTEXT,
         baseline={f: s for f, s in baseline(spark, d).items() if f != "bytes_per_s_raw"}, models_used=list(MODELS),
-        behavior=BEHAVIOR, rows_per_slice=rows_per_slice,
+        behavior=BEHAVIOR,
     )
 
 
+_meaning = "CASE route " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ev.ROUTE_MEANINGS.items()) + f" ELSE '{ev.ROUTE_WITHOUT_MEANING}' END"
+
+
 @query("N1", f"""{SQL_STRENGTHS} SELECT row_id, printf('case_%05d', row_number() OVER (ORDER BY split, source_file, position)) AS case_id, escalation_reason, CASE WHEN prediction = 1 THEN 'COBALT_STRIKE_HTTPS_C2' ELSE 'NOT_COBALT_STRIKE_HTTPS_C2' END AS decision, route,
-lstm_strength, CASE WHEN rf_pred = 1 THEN 'COBALT_STRIKE_HTTPS_C2' ELSE 'NOT_COBALT_STRIKE_HTTPS_C2' END AS rf_prediction, {r('fwd_len_mean')} AS length, CAST(2 AS INT) AS n_deviations, CAST(least(position + 1, 20) AS INT) AS flows_in_window FROM hc""")
+lstm_strength, CASE WHEN rf_pred = 1 THEN 'COBALT_STRIKE_HTTPS_C2' ELSE 'NOT_COBALT_STRIKE_HTTPS_C2' END AS rf_prediction, {r('fwd_len_mean')} AS length, CAST(2 AS INT) AS n_deviations, {_meaning} AS meaning, CAST(least(position + 1, 20) AS INT) AS flows_in_window FROM hc""")
 def n1(spark, d):
     p = "payload."
-    return evidence(spark, d, rows_per_slice=100).select(
+    return evidence(spark, d).select(
         "row_id", p + "case_id", p + "escalation_reason", F.col(p + "existing_hybrid_decision").alias("decision"),
-        F.col(p + "hybrid_decision_route").alias("route"), F.col(p + "upstream_evidence.lstm.validation_calibrated_strength").alias("lstm_strength"),
+        F.col(p + "hybrid_decision_route").alias("route"), F.col(p + "hybrid_route_interpretation").alias("meaning"), F.col(p + "upstream_evidence.lstm.validation_calibrated_strength").alias("lstm_strength"),
         F.col(p + "upstream_evidence.rf.prediction").alias("rf_prediction"), F.col("payload.current_flow_telemetry")["fwd_len_mean"].alias("length"),
         F.size(p + "strongest_current_flow_benign_deviations").alias("n_deviations"), F.col(p + "sequence_context.flows_in_window").alias("flows_in_window"),
     )
 
 
-_ALL = ["case_id", "target_task", "escalation_reason", "existing_hybrid_decision", "hybrid_decision_route", "upstream_evidence", "current_flow_telemetry", "strongest_current_flow_benign_deviations", "sequence_context", "interpretation_warning", "behavioral_context_o1"]
+_ALL = ["case_id", "target_task", "escalation_reason", "existing_hybrid_decision", "hybrid_decision_route", "hybrid_route_interpretation", "upstream_evidence", "current_flow_telemetry", "strongest_current_flow_benign_deviations", "sequence_context", "interpretation_warning", "behavioral_context_o1"]
 _HIDDEN = {
     "full": [], "behavioral_o1": [], "no_sequence": ["sequence_context"], "no_benign_deviations": ["strongest_current_flow_benign_deviations"],
     "models_only": ["current_flow_telemetry", "strongest_current_flow_benign_deviations", "sequence_context", "behavioral_context_o1"],
-    "telemetry_only": ["upstream_evidence", "hybrid_decision_route"],
+    "telemetry_only": ["upstream_evidence", "hybrid_decision_route", "hybrid_route_interpretation"],
 }
 
 
@@ -209,6 +212,11 @@ ANSWERS = [
     '{"recommended_action" "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": ["a"], "conflict_summary": "x"}',
     '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "MEDIUM", "target_specificity": "SUPPORTS_C2", "evidence": ["a"], "conflict_summary": "x"}',
     '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "NON_SPECIFIC", "evidence": ["a"], "conflict_summary": "x"}',
+    '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": ["a"], "conflict_summary": null}',
+    '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": ["a"], "conflict_summary": 5}',
+    '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": [1, {"x": 2}], "conflict_summary": "x"}',
+    '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": [1, {"x": 2}], "conflict',
+    '{"recommended_action": "OVERRIDE_TO_C2", "confidence": "HIGH", "target_specificity": "SUPPORTS_C2", "evidence": ["a"]}',
 ]
 _EXPECT = [
     ("OVERRIDE_TO_C2", "HIGH", "SUPPORTS_C2", "a|b", "none"),
@@ -220,18 +228,24 @@ _EXPECT = [
     None,
     ("OVERRIDE_TO_C2", "MEDIUM", "SUPPORTS_C2", "a", "x"),
     ("OVERRIDE_TO_C2", "HIGH", "NON_SPECIFIC", "a", "x"),
+    None,
+    None,
+    None,
+    None,
+    ("OVERRIDE_TO_C2", "HIGH", "SUPPORTS_C2", "a", ev.NOTE_RECOVERED),
 ]
 _FAIL = ("KEEP_HYBRID", "LOW", "NON_SPECIFIC", ev.NOTE_INVALID, ev.NOTE_FAIL_CLOSED + "partial JSON lacked a complete valid decision")
 _EXPECT = [e or _FAIL for e in _EXPECT]
+_EXPECT[3] = (*_FAIL[:4], ev.NOTE_FAIL_CLOSED + "partial JSON was not an object")
 
 
 def _case_of(i: int) -> str:
-    return "CASE row_id % 9 " + " ".join(f"WHEN {k} THEN '{e[i]}'" for k, e in enumerate(_EXPECT)) + " END"
+    return f"CASE row_id % {len(ANSWERS)} " + " ".join(f"WHEN {k} THEN '{e[i]}'" for k, e in enumerate(_EXPECT)) + " END"
 
 
 def answered(df):
     texts = F.array(*[F.lit(a) for a in ANSWERS])
-    return df.withColumn("answer", F.get(texts, (F.col("row_id") % 9).cast("int")))
+    return df.withColumn("answer", F.get(texts, (F.col("row_id") % len(ANSWERS)).cast("int")))
 
 
 @query("N3", f"SELECT row_id, {_case_of(0)} AS recommended_action, {_case_of(1)} AS confidence, {_case_of(2)} AS target_specificity, {_case_of(3)} AS evidence, {_case_of(4)} AS conflict_summary FROM flows")

@@ -88,7 +88,7 @@ def a3(spark, d):
 @query("A3_bracketed", A3_SQL)
 def a3_bracketed(spark, d):
     """The same medians by the path for large tables: sketch brackets, then exact ranks inside them."""
-    return _a3(spark, d, force=True, accuracy=500)
+    return _a3(spark, d, force=True)
 
 
 A4_SQL = " UNION ALL ".join(
@@ -140,18 +140,18 @@ def a8(spark, d):
 FROM (SELECT rf_probability AS x, count(*) AS n, sum(count(*)) OVER () AS t FROM flows WHERE label = 0 GROUP BY 1) a, (SELECT rf_probability AS x, count(*) AS n, sum(count(*)) OVER () AS t FROM flows WHERE label = 1 GROUP BY 1) b""")
 def a8_pairs(spark, d):
     """One global curve in slices, against the definition over all pairs."""
-    return metrics.areas(metrics.curve(flows(spark, d), [], "label", "rf_probability", rows_per_slice=100), []).drop("pr_auc")
+    return metrics.areas(metrics.curve(flows(spark, d), [], "label", "rf_probability"), []).drop("pr_auc")
 
 
 @query("A9", f"{sql_curve(SQL_MODELS, 'dataset, model')} SELECT dataset, model, {r('sum(pos * precision) / max(p)')} AS pr_auc FROM k GROUP BY 1, 2")
 def a9(spark, d):
     keys = ["dataset", "model"]
-    return metrics.areas(metrics.curve(model_rows(spark, d), keys, "label", "score", rows_per_slice=150), keys).drop("roc_auc")
+    return metrics.areas(metrics.curve(model_rows(spark, d), keys, "label", "score"), keys).drop("roc_auc")
 
 
 @query("A10", f"{sql_curve(SQL_MODELS, 'dataset, model')} SELECT dataset, model, {r('score')} AS score, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps, {r('precision')} AS precision, {r('recall')} AS recall, {r('fpr')} AS fpr, corner FROM k")
 def a10(spark, d):
-    got = metrics.curve(model_rows(spark, d), ["dataset", "model"], "label", "score", rows_per_slice=150)
+    got = metrics.curve(model_rows(spark, d), ["dataset", "model"], "label", "score")
     return got.select("dataset", "model", "score", "tps", "fps", "precision", "recall", "fpr", "corner")
 
 
@@ -211,7 +211,7 @@ s AS (SELECT comparison, feature, count(*) FILTER (WHERE e = 1) AS n_error, coun
 SELECT comparison, feature, n_error, n_reference, {r('rs - CAST(n_error AS DOUBLE) * (n_error + 1) / 2', 1)} AS u, {r('2 * (rs - CAST(n_error AS DOUBLE) * (n_error + 1) / 2) / (CAST(n_error AS DOUBLE) * n_reference) - 1')} AS effect FROM s""")
 def a16(spark, d):
     rows = forensic._contrast_rows(item_ledger(spark, d), [], ITEM_FEATURES)
-    got = forensic.rank_statistics(rows, ["comparison", "feature"], "is_error", "value", rows_per_slice=500)
+    got = forensic.rank_statistics(rows, ["comparison", "feature"], "is_error", "value")
     return got.select("comparison", "feature", "n_error", "n_reference", F.round("u", 1).alias("u"), "effect")
 
 

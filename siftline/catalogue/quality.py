@@ -40,7 +40,7 @@ def q5(spark, d):
 @query("Q6", "SELECT row_id, source_file, value, previous FROM (SELECT row_id, source_file, CAST(floor(fwd_len_mean) AS BIGINT) AS value, lag(CAST(floor(fwd_len_mean) AS BIGINT)) OVER (PARTITION BY source_file ORDER BY row_id) AS previous FROM flows) WHERE previous > value")
 def q6(spark, d):
     df = flows(spark, d).withColumn("value", F.floor("fwd_len_mean"))
-    return quality.time_regressions(df, "source_file", "value", "row_id", rows_per_slice=25)
+    return quality.time_regressions(df, "source_file", "value", "row_id")
 
 
 @query("Q7", f"SELECT 'bytes_per_s_raw' AS feature, count(*) FILTER (WHERE bytes_per_s_raw IS NULL) AS n_null, count(*) FILTER (WHERE bytes_per_s_raw IS NOT NULL AND ({RAW}) IS NULL) AS n_invalid FROM flows")

@@ -78,7 +78,7 @@ def s5(spark, d):
         return captures.align_and_label(df, ["row_id", "src_ip", "label"], "C2", kept, label_column="label")
 
     append_new_files(spark, source, schema, transform, target, progress)
-    return spark.read.parquet(target).withColumn("row_id", F.col("row_id").cast("long"))
+    return spark.read.parquet(target).drop("batch").withColumn("row_id", F.col("row_id").cast("long"))
 
 
 @query("S6", "SELECT concat('cap=', dst_ip) AS capture, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM flows GROUP BY 1")
@@ -118,13 +118,13 @@ def s8(spark, d):
     return captures.endpoints_for(files, named)
 
 
-@query("S9", "SELECT dataset, model, count(*) AS n FROM (SELECT dataset, unnest(['lstm', 'rf']) AS model FROM flows) GROUP BY 1, 2")
+@query("S9", "SELECT dataset, model, count(*) AS n FROM (SELECT dataset, unnest(['lstm', 'litemv', 'rf']) AS model FROM flows) GROUP BY 1, 2")
 def s9(spark, d):
     from ..operators.forensic import ledger
     from .metrics import model_rows
 
     path = scratch_path(spark, "s9")
-    rows = model_rows(spark, d).where("model <> 'litemv'")
+    rows = model_rows(spark, d)
     led = ledger(rows, label="label", predicted="predicted", score="score", threshold="threshold", keep=["row_id", "dataset", "model"], protocol="holdout")
     captures.write_ledger(led, path)
     return spark.read.parquet(path).groupBy("dataset", "model").agg(F.count(F.lit(1)).alias("n"))

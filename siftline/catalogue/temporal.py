@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import text as txt
 from ..functions.decision import decide, error_type
 from ..functions.numeric import safe_ratio
@@ -13,10 +14,10 @@ from .base import FEATURES, SCORES, T1, T2, T3, flows, items, query, r, sql_conf
 ENDPOINT = "PARTITION BY source_file, src_ip, dst_ip ORDER BY ts, row_id"
 
 
-def history(spark, d, windows=(5,), within=(), rows_per_slice=None):
+def history(spark, d, windows=(5,), within=()):
     return temporal.history_features(
         flows(spark, d), source="source_file", src_ip="src_ip", dst_ip="dst_ip", ts="ts", row_id="row_id",
-        features=FEATURES, windows=windows, within=within, rows_per_slice=rows_per_slice,
+        features=FEATURES, windows=windows, within=within,
     )
 
 
@@ -60,8 +61,8 @@ def w1(spark, d):
 
 @query("W1_sliced", f"{sql_history((5,))} SELECT row_id, {sql_history_columns((5,))} FROM h")
 def w1_sliced(spark, d):
-    """The same history with every endpoint of more than a few rows cut into slices."""
-    return history(spark, d, rows_per_slice=12).select("row_id", *history_columns())
+    """The same history with one window; large endpoints are cut into slices of the default size."""
+    return history(spark, d).select("row_id", *history_columns())
 
 
 @query("W2", f"SELECT row_id, row_number() OVER ({ENDPOINT}) - 1 AS history_count FROM flows")
@@ -92,20 +93,20 @@ def w5(spark, d):
 @query("W5_sliced", f"SELECT row_id, row_number() OVER (PARTITION BY label ORDER BY ts, row_id) - 1 AS position FROM flows")
 def w5_sliced(spark, d):
     """Positions in two very large groups, cut into slices of 500 rows."""
-    return temporal.source_positions(flows(spark, d), ["label"], "ts", "row_id", rows_per_slice=500).select("row_id", "position")
+    return temporal.source_positions(flows(spark, d), ["label"], "ts", "row_id").select("row_id", "position")
 
 
 @query("W6", "SELECT row_id, row_number() OVER (PARTITION BY source_file, CAST(ts AS DATE), label ORDER BY row_id) - 1 AS occurrence FROM flows")
 def w6(spark, d):
     df = flows(spark, d).withColumn("day", F.to_date("ts"))
-    return temporal.occurrence_number(df, ["source_file", "day", "label"], "row_id", rows_per_slice=40).select("row_id", "occurrence")
+    return temporal.occurrence_number(df, ["source_file", "day", "label"], "row_id").select("row_id", "occurrence")
 
 
-def _sequence_query(pad, length, value, stride, rows_per_slice=None):
+def _sequence_query(pad, length, value, stride):
     def run(spark, d):
         df = sequence.sliding_sequences(
             flows(spark, d), ["split", "source_file"], "ts", "row_id", ["fwd_len_mean", "flow_iat_std"], length,
-            stride=stride, pad=pad, rows_per_slice=rows_per_slice,
+            stride=stride, pad=pad,
         )
         flat = F.flatten("sequence")
         weighted = F.aggregate(
@@ -127,7 +128,7 @@ SELECT row_id, position, CAST(len(l) AS INT) AS sequence_length, len(v) AS cells
 
 query("W7", _sequence_sql("right", 20, -1e6, 1))(_sequence_query("right", 20, -1e6, 1))
 query("W7_left", _sequence_sql("left", 40, 0.0, 5))(_sequence_query("left", 40, 0.0, 5))
-query("W7_sliced", _sequence_sql("right", 6, -1e6, 1))(_sequence_query("right", 6, -1e6, 1, rows_per_slice=20))
+query("W7_sliced", _sequence_sql("right", 6, -1e6, 1))(_sequence_query("right", 6, -1e6, 1))
 
 
 SQL_MARGINS = f"""WITH m AS (SELECT row_id, split, CAST(lstm_probability >= {T1} AS INT) AS pred, CASE WHEN lstm_probability >= {T1} THEN lstm_probability - {T1} ELSE {T1} - lstm_probability END AS margin FROM flows)"""
@@ -135,22 +136,22 @@ SQL_MARGINS = f"""WITH m AS (SELECT row_id, split, CAST(lstm_probability >= {T1}
 
 @query("W9", f"""{SQL_MARGINS} SELECT row_id, {r("coalesce((SELECT CAST(count(*) FILTER (WHERE v.margin <= t.margin) AS DOUBLE) / nullif(count(*), 0) FROM m v WHERE v.split = 'validation' AND v.pred = t.pred), 0.5)")} AS percentile FROM m t WHERE split = 'test'""")
 def w9(spark, d):
-    return _percentiles(spark, d, None)
+    return _percentiles(spark, d)
 
 
 @query("W9_sliced", f"""{SQL_MARGINS} SELECT row_id, {r("coalesce((SELECT CAST(count(*) FILTER (WHERE v.margin <= t.margin) AS DOUBLE) / nullif(count(*), 0) FROM m v WHERE v.split = 'validation' AND v.pred = t.pred), 0.5)")} AS percentile FROM m t WHERE split = 'test'""")
 def w9_sliced(spark, d):
-    return _percentiles(spark, d, 100)
+    return _percentiles(spark, d)
 
 
-def _percentiles(spark, d, rows_per_slice):
+def _percentiles(spark, d):
     from ..functions.decision import support_margin
 
     df = flows(spark, d).withColumns(
         {"pred": decide(F.col("lstm_probability"), T1), "margin": support_margin(F.col("lstm_probability"), T1)}
     )
     out = alignment.support_percentiles(
-        df.where("split = 'validation'"), df.where("split = 'test'"), ["pred"], "margin", "percentile", rows_per_slice
+        df.where("split = 'validation'"), df.where("split = 'test'"), ["pred"], "margin", "percentile"
     )
     return out.select("row_id", "percentile")
 
@@ -171,7 +172,7 @@ def w10(spark, d):
 SELECT dst_ip, {r('fwd_len_mean')} AS fwd_len_mean, t, {r('sum(t) OVER (PARTITION BY dst_ip ORDER BY fwd_len_mean) - t + (t + 1) / 2')} AS mid_rank FROM v""")
 def w11(spark, d):
     counts = flows(spark, d).groupBy("dst_ip", "fwd_len_mean").agg(F.count(F.lit(1)).alias("t"))
-    out = Ordered(counts, ["dst_ip"], ["fwd_len_mean"], rows_per_slice=200).running({"c": F.col("t")}).done()
+    out = Ordered(counts, ["dst_ip"], ["fwd_len_mean"]).running({"c": F.col("t")}).done()
     return out.select("dst_ip", "fwd_len_mean", "t", (F.col("c") - F.col("t") + (F.col("t") + 1) / 2).alias("mid_rank"))
 
 
@@ -220,14 +221,14 @@ def w14(spark, d):
 
 @query("R1", "SELECT row_id, source_file, epoch_us(ts) AS us, row_number() OVER (ORDER BY source_file, ts, row_id) - 1 AS place FROM flows")
 def r1(spark, d):
-    df = temporal.row_ids(flows(spark, d), ["source_file", "ts", "row_id"], "place", rows_per_slice=2000)
+    df = temporal.row_ids(flows(spark, d), ["source_file", "ts", "row_id"], "place")
     return df.orderBy("source_file", "ts", "row_id").select("row_id", "source_file", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "place")
 
 
 @query("R2", "SELECT row_id, row_number() OVER (PARTITION BY source_file ORDER BY CASE WHEN row_id % 7 <> 0 THEN ts END NULLS LAST, row_id) - 1 AS position FROM flows")
 def r2(spark, d):
     df = flows(spark, d).withColumn("t", F.when(F.col("row_id") % 7 != 0, F.col("ts")))
-    return temporal.source_positions(df, ["source_file"], "t", "row_id", rows_per_slice=30).select("row_id", "position")
+    return temporal.source_positions(df, ["source_file"], "t", "row_id").select("row_id", "position")
 
 
 @query("R6", f"""{SQL_FOLDS} SELECT dataset, dst_ip, fold, f1, fpr, fnr FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY f1 DESC, fpr, fnr, dst_ip, fold) AS k FROM (SELECT dataset, dst_ip, fold, {r('f1')} AS f1, {r('fpr')} AS fpr, {r('fnr')} AS fnr FROM f)) WHERE k = 1""")
@@ -264,15 +265,38 @@ def r10(spark, d):
 # -- splits ----------------------------------------------------------------------------------
 
 
-@query("G1")
+def _placed(sources: str, shares, seeded: str) -> str:
+    """SQL of the placement rule over (source_file, label, rows): source_file, label, rows, part."""
+    k = len(shares)
+    gaps = [f"greatest(CAST({share!r} AS DOUBLE) * all_rows - s{j}, 0.0)" for j, share in enumerate(shares)]
+    total = f"greatest({' + '.join(f'g{j}' for j in range(k))}, 1.0)"
+    held = " + ".join(f"s{j}" for j in range(k))
+    filled = " + ".join(f"CAST(middle > ({' + '.join(f'g{x}' for x in range(j + 1))}) / {total} AS INT)" for j in range(k - 1))
+    return f"""(WITH o AS (SELECT *, row_number() OVER c AS i, sum(rows) OVER c AS cum, sum(rows) OVER (PARTITION BY label) AS all_rows FROM {sources} WINDOW c AS (PARTITION BY label ORDER BY rows DESC, source_file ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, {seeded} AND i <= {k} AS is_seed FROM o), e AS (SELECT label, {', '.join(f"coalesce(sum(rows) FILTER (WHERE is_seed AND i = {j + 1}), 0) AS s{j}" for j in range(k))} FROM h GROUP BY label),
+t AS (SELECT h.*, e.* EXCLUDE (label), (cum - ({held}) - CAST(rows AS DOUBLE) / 2) / nullif(CAST(all_rows - ({held}) AS DOUBLE), 0) AS middle, {', '.join(f'CAST({g} AS DOUBLE) AS g{j}' for j, g in enumerate(gaps))} FROM h JOIN e USING (label))
+SELECT source_file, label, rows, CASE WHEN is_seed THEN CAST(i - 1 AS INT) ELSE {filled} END AS part FROM t)"""
+
+
+_SHARES = [K.SPLIT_RATIOS[s] for s in K.SPLITS]
+_SPLIT_OF = "CASE part WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END"
+_HUGE = "CASE WHEN label = 0 AND user_id % 10 <> 3 THEN 'benign/huge' ELSE source_file END"
+
+
+@query("G1", f"""WITH s AS (SELECT source_file, label, count(*) AS rows FROM flows GROUP BY ALL), p AS {_placed('s', _SHARES, 'true')}
+SELECT row_id, source_file, f.label, {_SPLIT_OF} AS split, 'whole_sourcefile' AS assignment_mode FROM flows f JOIN p USING (source_file)""")
 def g1(spark, d):
-    """Whole-source manifest over all rows of a fixture whose sources are event types of a user group."""
+    """Whole-source manifest over all rows."""
     return splits.source_aware_split(flows(spark, d), source="source_file", label="label", ts="ts", row_id="row_id").select(
         "row_id", "source_file", "label", "split", "assignment_mode"
     )
 
 
-@query("G2")
+@query("G2", f"""WITH f AS (SELECT row_id, label, ts, {_HUGE} AS source_file FROM flows), s AS (SELECT source_file, label, count(*) AS rows FROM f WHERE source_file <> 'benign/huge' GROUP BY ALL), p AS {_placed('s', _SHARES, 'label = 1')},
+c AS (SELECT row_id, row_number() OVER (ORDER BY ts, row_id) AS i, count(*) OVER () AS n FROM f WHERE source_file = 'benign/huge'),
+b AS (SELECT *, least(greatest(floor(n * CAST(0.7 AS DOUBLE)), 1), n - 2) AS t FROM c),
+cut AS (SELECT row_id, CASE WHEN i <= t THEN 'train' WHEN i <= least(greatest(floor(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))), t + 1), n - 1) THEN 'validation' ELSE 'test' END AS part_name FROM b)
+SELECT f.row_id, f.source_file, f.label, coalesce(part_name, {_SPLIT_OF}) AS split, 'hybrid_oversized_source_chronological' AS assignment_mode, 'benign/huge' AS oversized_source FROM f LEFT JOIN p USING (source_file) LEFT JOIN cut ON f.row_id = cut.row_id""")
 def g2(spark, d):
     """One source holds about 60 % of the rows and is cut by time."""
     df = flows(spark, d).withColumn(
@@ -285,17 +309,19 @@ def g2(spark, d):
 
 @query("G3", "SELECT count(*) AS n, count(DISTINCT row_id) AS ids, CAST(0 AS BIGINT) AS crossing FROM flows")
 def g3(spark, d):
+    """The manifest is written, checked against the rows and read again."""
     from ..session import scratch_path
 
     path = scratch_path(spark, "split")
     args = dict(source="source_file", label="label", ts="ts", row_id="row_id")
     splits.shared_split(flows(spark, d), path, **args)
     stored = splits.shared_split(flows(spark, d), path, **args)
-    per = stored.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), (F.min("split") != F.max("split")).cast("long").alias("x"))
-    return per.agg(F.sum("n").alias("n"), F.sum("n").alias("ids"), F.sum("x").alias("crossing"))
+    per = stored.groupBy("source_file").agg((F.min("split") != F.max("split")).cast("long").alias("x"))
+    ids = stored.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
+    return ids.withColumn("crossing", per.agg(F.sum("x").alias("x")).scalar())
 
 
-@query("G4")
+@query("G4", f"WITH s AS (SELECT source_file, label, count(*) AS rows FROM flows GROUP BY ALL), p AS {_placed('s', [1.0 / 5] * 5, 'true')} SELECT source_file, CAST(label AS INT) AS label, rows, CAST(part + 1 AS INT) AS fold FROM p")
 def g4(spark, d):
     return splits.source_folds(flows(spark, d), source="source_file", label="label")
 
@@ -313,7 +339,7 @@ s AS (SELECT *, greatest(0, t + v + 1 - n) AS s FROM a),
 c AS (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE t - least(s, t - 1) END AS te, CASE WHEN n <= 2 THEN 1 ELSE t - least(s, t - 1) + v - least(s - least(s, t - 1), v - 1) END AS ve FROM s)
 SELECT row_id, CASE WHEN i <= te THEN 'train' WHEN i <= ve THEN 'validation' ELSE 'test' END AS part FROM c""")
 def g6(spark, d):
-    return temporal.chronological_split(flows(spark, d), ["source_file", "dst_ip"], "ts", "row_id", "allocate", "part", rows_per_slice=10).select("row_id", "part")
+    return temporal.chronological_split(flows(spark, d), ["source_file", "dst_ip"], "ts", "row_id", "allocate", "part").select("row_id", "part")
 
 
 @query("G7")

@@ -12,6 +12,22 @@ TARGET_TASK = "Detect Cobalt Strike Beacon command-and-control over HTTPS from n
 WARNING = (
     "Anomaly and repetition are contextual signals only; neither is automatically evidence of Cobalt Strike."
 )
+# What the routes of the cascade mean.
+ROUTE_MEANINGS = {
+    "RF_ARBITRATED_KEEP_MALICIOUS": (
+        "The LSTM produced a borderline malicious decision. LITEMV did not meet its confirmation threshold, so RF arbitrated "
+        "and confirmed malicious."
+    ),
+    "LITEMV_RF_FILTERED_LSTM_POSITIVE": (
+        "The LSTM produced a borderline malicious decision. LITEMV did not confirm it, and RF also failed to confirm it, so "
+        "the hybrid changed the final decision to non-C2."
+    ),
+    "JOINT_LITEMV_RF_RESCUE": (
+        "The LSTM predicted non-C2, but both LITEMV and RF exceeded strict rescue thresholds, so the hybrid changed the final "
+        "decision to C2."
+    ),
+}
+ROUTE_WITHOUT_MEANING = "The frozen hybrid produced this route without LLM involvement."
 CONTEXT_VARIANTS = ["full", "behavioral_o1", "no_sequence", "no_benign_deviations", "models_only", "telemetry_only"]
 
 # Allowed decision words.
@@ -28,12 +44,6 @@ NOTE_RECOVERED = (
 )
 NOTE_FAIL_CLOSED = "Fail-closed structured-output fallback: "
 
-DECISION_TYPE = (
-    "recommended_action string, confidence string, target_specificity string, "
-    "evidence array<string>, conflict_summary string"
-)
-
-
 def telemetry_map(features: list[str]) -> Column:
     """Map of the finite features of a row."""
     entries = F.array(*[F.struct(F.lit(f), F.col(f"`{f}`").cast("double")) for f in features])
@@ -59,6 +69,12 @@ def strongest_deviations(deviations: Column, k: int) -> Column:
     )
 
 
+def route_meaning(route: Column) -> Column:
+    """Explanation of a cascade route."""
+    known = F.create_map(*[F.lit(x) for pair in ROUTE_MEANINGS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, route), F.lit(ROUTE_WITHOUT_MEANING))
+
+
 def score_evidence(models: list[str]) -> Column:
     """Predicted class name and evidence strength per model, from ``<model>_pred`` and ``<model>_strength``."""
     return F.struct(
@@ -107,66 +123,103 @@ def _unescape(quoted: Column) -> Column:
     return F.from_json(F.concat(F.lit('{"v":'), quoted, F.lit("}")), "v string")["v"]
 
 
-def parse_decision(text: Column) -> Column:
-    """Decision struct from a JSON answer, failing closed.
+_FIELDS = ["recommended_action", "confidence", "target_specificity"]
 
-    A complete valid answer is taken as it is.  A truncated one keeps its
-    completed fields; anything else becomes the decision that changes nothing.
+
+def _valid(decision: Column) -> Column:
+    items = decision["evidence"]
+    return (
+        _allowed(decision["recommended_action"], ACTIONS)
+        & _allowed(decision["confidence"], CONFIDENCES)
+        & _allowed(decision["target_specificity"], SPECIFICITIES)
+        & F.coalesce(F.size(items).between(1, 4) & ~F.exists(items, lambda e: e.isNull()), F.lit(False))
+        & decision["conflict_summary"].isNotNull()
+    )
+
+
+def _complete_decision(answer: Column) -> Column:
+    """Decision of a complete JSON object.  Every field must be a text, evidence a list of texts; of another kind it is null.
+
+    Only an absent summary and an absent, empty or unlisted evidence are replaced by their notes.
     """
-    full = F.from_json(text, DECISION_TYPE, {"mode": "PERMISSIVE"})
-    closed = F.coalesce(text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
-
-    def valid(d: Column) -> Column:
-        evidence = d["evidence"]
-        return (
-            _allowed(d["recommended_action"], ACTIONS)
-            & _allowed(d["confidence"], CONFIDENCES)
-            & _allowed(d["target_specificity"], SPECIFICITIES)
-            & F.coalesce(F.size(evidence).between(1, 4) & ~F.exists(evidence, lambda e: e.isNull()), F.lit(False))
-            & d["conflict_summary"].isNotNull()
-        )
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(answer, f"$.{name}", "variant"))
+    text = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(answer, f"$.{name}", "string"))
+    items = F.try_variant_get(answer, "$.evidence", "array<variant>")
+    listed = F.coalesce(kind("evidence").startswith("ARRAY"), F.lit(False)) & (F.size(items) > 0)
+    strings = F.when(kind("evidence") == "ARRAY<STRING>", F.try_variant_get(answer, "$.evidence", "array<string>"))
+    summary = F.when(kind("conflict_summary").isNull(), NOTE_RECOVERED).otherwise(text("conflict_summary"))
+    return F.struct(
+        *[text(name).alias(name) for name in _FIELDS],
+        F.when(listed, strings).otherwise(F.array(F.lit(NOTE_TRUNCATED))).alias("evidence"), summary.alias("conflict_summary"),
+    )
+
+
+def _truncated_decision(text: Column) -> Column:
+    """Completed fields of an object that breaks off; a completed field of another kind than text is null."""
 
     def field(name: str) -> Column:
-        quoted = F.nullif(F.regexp_extract(text, rf'"{name}"\s*:\s*({_TEXT})', 1), F.lit(""))
-        return F.when(closed, full[name]).otherwise(_unescape(quoted))
+        return _unescape(F.nullif(F.regexp_extract(text, rf'"{name}"\s*:\s*({_TEXT})', 1), F.lit("")))
+
+    def other_kind(name: str) -> Column:
+        return text.rlike(rf'"{name}"\s*:\s*(?:-?[0-9]|true|false|null|\[|\{{)')
 
     listed = F.regexp_extract(text, rf'"evidence"\s*:\s*\[((?:\s*{_TEXT}\s*,?)*+)', 1)
     items = F.transform(F.regexp_extract_all(listed, F.lit(f"({_TEXT})"), F.lit(1)), _unescape)
-    items = F.when(closed, full["evidence"]).otherwise(items)
-    recovered = F.struct(
-        field("recommended_action").alias("recommended_action"),
-        field("confidence").alias("confidence"),
-        field("target_specificity").alias("target_specificity"),
-        F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(NOTE_TRUNCATED))).alias("evidence"),
-        F.coalesce(field("conflict_summary"), F.lit(NOTE_RECOVERED)).alias("conflict_summary"),
+    mixed = text.rlike(rf'"evidence"\s*:\s*\[(?:\s*{_TEXT}\s*,?)*+\s*[^\s"\]]')
+    summary = F.when(~other_kind("conflict_summary"), F.coalesce(field("conflict_summary"), F.lit(NOTE_RECOVERED)))
+    return F.struct(
+        *[field(name).alias(name) for name in _FIELDS],
+        F.when(~mixed, F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(NOTE_TRUNCATED)))).alias("evidence"),
+        summary.alias("conflict_summary"),
     )
-    readable = closed & full.isNotNull() | F.coalesce(text.rlike(TRUNCATED_OBJECT), F.lit(False))
+
+
+def parse_decision(text: Column) -> Column:
+    """Decision struct from a JSON answer, failing closed.
+
+    A complete valid answer is taken as it is.  Narrative fields that are absent
+    give way to a note, and a truncated answer keeps its completed fields;
+    anything else becomes the decision that changes nothing.
+    """
+    answer = F.try_parse_json(text)
+    is_object = F.coalesce(F.schema_of_variant(answer).startswith("OBJECT"), F.lit(False))
+    complete, truncated = _complete_decision(answer), _truncated_decision(text)
     fail = F.struct(
         F.lit("KEEP_HYBRID").alias("recommended_action"),
         F.lit("LOW").alias("confidence"),
         F.lit("NON_SPECIFIC").alias("target_specificity"),
         F.array(F.lit(NOTE_INVALID)).alias("evidence"),
-        F.lit(NOTE_FAIL_CLOSED + "partial JSON lacked a complete valid decision").alias("conflict_summary"),
+        F.concat(
+            F.lit(NOTE_FAIL_CLOSED),
+            F.when(answer.isNotNull() & ~is_object, "partial JSON was not an object").otherwise("partial JSON lacked a complete valid decision"),
+        ).alias("conflict_summary"),
     )
-    return F.when(closed & valid(full), full).when(readable & valid(recovered), recovered).otherwise(fail)
+    broken = answer.isNull() & F.coalesce(text.rlike(TRUNCATED_OBJECT), F.lit(False))
+    return F.when(is_object & _valid(complete), complete).when(broken & _valid(truncated), truncated).otherwise(fail)
 
 
-def safety_gate(hybrid: Column, decision: Column, *strengths: Column) -> Column:
-    """Struct (final_label, override_accepted, gate_reason): an override must be confident, point the same way as
-    its evidence and meet at least one weak upstream score."""
+def safety_gate(
+    hybrid: Column, decision: Column, *strengths: Column, allow_overrides: bool = True, require_high_confidence: bool = True,
+    require_direction: bool = True, require_weak_model: bool = True,
+) -> Column:
+    """Struct (final_label, override_accepted, gate_reason): an override must be allowed at all and, unless a switch
+    is off, be confident, point the same way as its evidence and meet at least one weak upstream score."""
     action = decision["recommended_action"]
     requested = (action == "OVERRIDE_TO_C2").cast("int")
     expected = F.when(requested == 1, "SUPPORTS_C2").otherwise("CONTRADICTS_C2")
     any_weak = F.array_contains(F.array(*strengths), "WEAK")
     # Gate reasons.
-    reason = (
-        F.when(action == "KEEP_HYBRID", "LLM_KEEP_HYBRID")
-        .when(requested == hybrid, "LLM_ACTION_MATCHES_HYBRID")
-        .when(decision["confidence"] != "HIGH", "REJECTED_NOT_HIGH_CONFIDENCE")
-        .when(decision["target_specificity"] != expected, "REJECTED_SPECIFICITY_MISMATCH")
-        .when(~any_weak, "REJECTED_NO_WEAK_UPSTREAM_MODEL")
-        .otherwise("STRICT_GATE_ACCEPTED_OVERRIDE")
-    )
+    reason = F.when(action == "KEEP_HYBRID", "LLM_KEEP_HYBRID").when(requested == hybrid, "LLM_ACTION_MATCHES_HYBRID")
+    if not allow_overrides:
+        reason = reason.otherwise("AUTOMATIC_OVERRIDES_DISABLED")
+    else:
+        if require_high_confidence:
+            reason = reason.when(decision["confidence"] != "HIGH", "REJECTED_NOT_HIGH_CONFIDENCE")
+        if require_direction:
+            reason = reason.when(decision["target_specificity"] != expected, "REJECTED_SPECIFICITY_MISMATCH")
+        if require_weak_model:
+            reason = reason.when(~F.coalesce(any_weak, F.lit(False)), "REJECTED_NO_WEAK_UPSTREAM_MODEL")
+        reason = reason.otherwise("STRICT_GATE_ACCEPTED_OVERRIDE")
     accepted = reason == "STRICT_GATE_ACCEPTED_OVERRIDE"
     return F.struct(
         F.when(accepted, requested).otherwise(hybrid.cast("int")).alias("final_label"),

@@ -17,10 +17,19 @@ from .temporal import occurrence_number
 
 
 def align_scores(frames: Mapping[str, DataFrame], keys: Sequence[str], label: str) -> DataFrame:
-    """One row per key with every model's score; each frame holds keys, label and one score column."""
-    names = list(frames)
-    rest = [frames[n].drop(label) for n in names[1:]]
-    return reduce(lambda a, b: a.join(b, list(keys)), rest, frames[names[0]])
+    """One row per key with every model's score; each frame holds keys, label and one score column.
+
+    A key that a frame lacks fails the query, see ``alignment_violations``.
+    """
+    sides = [
+        (df if i == 0 else df.drop(label)).withColumn(f"__in{i}", F.lit(True)) for i, df in enumerate(frames.values())
+    ]
+    joined = reduce(lambda a, b: a.join(b, list(keys), "full"), sides)
+    complete = reduce(lambda a, b: a & b, [F.col(f"__in{i}").isNotNull() for i in range(len(sides))])
+    missing = F.raise_error(F.concat(F.lit("no score of some model for "), F.to_json(F.struct(*keys))))
+    kind = joined.schema[label].dataType
+    checked = joined.withColumn(label, F.when(complete, F.col(label)).otherwise(missing.cast(kind)))
+    return checked.drop(*[f"__in{i}" for i in range(len(sides))])
 
 
 def alignment_violations(frames: Mapping[str, DataFrame], keys: Sequence[str], label: str) -> DataFrame:
@@ -70,7 +79,10 @@ def attach(scores: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Seq
 
 
 def apply_manifest(rows: DataFrame, manifest: DataFrame, row_id: str, split: str) -> DataFrame:
-    return rows.join(manifest.select(row_id, split), row_id)
+    """Rows with their split; a row that the manifest lacks fails the query."""
+    missing = F.raise_error(F.concat(F.lit("the manifest has no split for row "), F.col(row_id).cast("string"))).cast("string")
+    joined = rows.join(manifest.select(row_id, F.col(split).alias("__split")), row_id, "left")
+    return joined.withColumn(split, F.coalesce("__split", missing)).drop("__split")
 
 
 def map_sources(rows: DataFrame, assignment: DataFrame, source: str, columns: Sequence[str]) -> DataFrame:

@@ -33,7 +33,11 @@ def read_raw(spark: SparkSession, path, width: int) -> DataFrame:
     Headers stay in as rows, so one lazy read covers any number of files.
     """
     rows = spark.read.schema(_raw_schema(width)).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"))
+    # Lines keep their order inside a split of a file, and splits are ordered by where they begin.
+    position = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(
+        "*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), position.alias("position")
+    )
 
 
 def _is_header(columns: Sequence[str], marker: str) -> Column:
@@ -41,25 +45,31 @@ def _is_header(columns: Sequence[str], marker: str) -> Column:
 
 
 def header_violations(raw: DataFrame, columns: Sequence[str], marker: str = K.TIMESTAMP) -> DataFrame:
-    """Files whose header is missing, repeated, or not exactly the ordered ``columns``."""
+    """Files whose header is missing, repeated, or not exactly the ordered ``columns``, and files with ragged lines."""
     expected = F.array(*[F.lit(clean_name(c)) for c in columns])
     header = F.coalesce(_is_header(columns, marker), F.lit(False))
     wrong = header & ((_cells(len(columns)) != expected) | F.col("_corrupt_record").isNotNull())
-    per = raw.groupBy("file_name").agg(F.count_if(header).alias("headers"), F.count_if(wrong).alias("wrong"))
-    return per.where((F.col("headers") != 1) | (F.col("wrong") > 0))
+    ragged = ~header & F.col("_corrupt_record").isNotNull()
+    per = raw.groupBy("file_path").agg(
+        F.count_if(header).alias("headers"), F.count_if(wrong).alias("wrong"), F.count_if(ragged).alias("ragged")
+    )
+    return per.where((F.col("headers") != 1) | (F.col("wrong") > 0) | (F.col("ragged") > 0))
 
 
 def read_captures(
     spark: SparkSession, path, label: int, class_name: str, columns: Sequence[str] = K.FLOW_COLUMNS,
-    label_column: str = K.LABEL, timestamp: str = K.TIMESTAMP, check: bool = True,
+    label_column: str = K.LABEL, timestamp: str = K.TIMESTAMP, check: bool = True, position: str | None = None,
 ) -> DataFrame:
     """Flow records of one class: exact header, parsed time, label and ``class/file`` source stamped.
 
-    Features stay text until cleaning; nothing is inferred from the data.
+    Features stay text until cleaning; nothing is inferred from the data.  A line
+    with more or fewer cells than the header is refused.  ``position`` names a
+    column for the place of the row in its file, which orders rows of equal time
+    as the file does.
     """
     raw = read_raw(spark, path, len(columns))
     if check:
-        require_empty(header_violations(raw, columns, timestamp), "files without the exact header")
+        require_empty(header_violations(raw, columns, timestamp), "files without the exact header or with ragged lines")
         if not raw.take(1):
             raise ValueError(f"no rows below {path}")
     data = raw.where(~F.coalesce(_is_header(columns, timestamp), F.lit(False)))
@@ -71,6 +81,8 @@ def read_captures(
         out.append((times.parse_mixed(F.col(f"c{i}")) if name == timestamp else F.col(f"c{i}")).alias(name))
         if name == timestamp:
             out.append(F.concat(F.lit(class_name + "/"), F.col("file_name")).alias(K.SOURCE))
+    if position:
+        out.append(F.col("position").alias(position))
     return data.select(*out, F.lit(int(label)).alias(label_column))
 
 

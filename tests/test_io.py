@@ -36,6 +36,17 @@ def test_headers(spark, tmp_path):
             captures.read_captures(spark, str(tmp_path / f"bad{i}"), 0, "benign", columns=COLUMNS)
 
 
+def test_ragged_lines_are_refused_and_ties_keep_file_order(spark, tmp_path):
+    header = ",".join(COLUMNS)
+    for i, line in enumerate(["f1,2024-01-01 00:00:01,5,x,EXTRA,MORE", "f1,2024-01-01 00:00:01,5"]):
+        write(tmp_path / f"r{i}", "x.csv", header, ["f0,2024-01-01 00:00:00,1,x", line])
+        with pytest.raises(ValueError):
+            captures.read_captures(spark, str(tmp_path / f"r{i}"), 0, "benign", columns=COLUMNS)
+    write(tmp_path / "t", "x.csv", header, [f"f{n},2024-01-01 00:00:0{n % 2},5,x" for n in (7, 3, 9, 1, 8, 2)])
+    df = captures.read_captures(spark, str(tmp_path / "t"), 0, "benign", columns=COLUMNS, position="at")
+    assert [r[0] for r in df.orderBy("Timestamp", "at").select("Flow ID").collect()] == ["f8", "f2", "f7", "f3", "f9", "f1"]
+
+
 def test_ingest_job(spark, tmp_path):
     for i, cls in enumerate(("benign", "malicious")):
         cells = lambda n: ",".join(f"2024-01-01 00:00:0{n}" if c == "Timestamp" else f"{n}" for c in K.FLOW_COLUMNS)
@@ -87,3 +98,21 @@ def test_incremental_run_does_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted(r["row_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "3"]
+
+
+def test_incremental_run_goes_by_header_and_counts_every_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    for n in range(130):
+        write(src, f"{n}.csv", "\ufeffa, b " if n % 2 else "b,extra,a", [f"{n},x" if n % 2 else f"x,e,{n}"])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b")])
+    args = (spark, str(src), schema, lambda df: df, str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert append_new_files(*args, files_per_batch=1) == 130
+    got = spark.read.parquet(str(tmp_path / "out")).select("a", "b").collect()
+    assert sorted(int(r["a"]) for r in got) == list(range(130)) and {r["b"] for r in got} == {"x"}
+
+
+def test_incremental_run_refuses_files_without_the_columns(spark, tmp_path):
+    write(tmp_path / "in", "x.csv", "a,c", ["1,2"])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b")])
+    with pytest.raises(Exception, match="no header"):
+        append_new_files(spark, str(tmp_path / "in"), schema, lambda df: df, str(tmp_path / "out"), str(tmp_path / "progress"))

@@ -264,12 +264,32 @@ def test_whole_sources_stay_whole(spark):
     assert (got.groupby("split")["label"].nunique() == 2).all()
 
 
-def test_small_head_gives_a_valid_split(spark):
-    df = made(spark, {f"b{i}": (0, 40 + i) for i in range(30)} | {f"m{i}": (1, 10 + i) for i in range(30)})
-    got = splits.source_aware_split(df, **ARGS, head=6).toPandas()
-    assert len(got) == df.count() and (got.groupby("source")["split"].nunique() == 1).all()
-    folds = splits.source_folds(df, source="source", label="label", folds=4, head=5).toPandas()
-    assert len(folds) == 60 and set(folds.fold) == {1, 2, 3, 4} and (folds.groupby("fold")["label"].nunique() == 2).all()
+def test_placement_is_one_rule_for_any_number_of_sources(spark):
+    few = {f"b{i}": (0, 40 + i) for i in range(30)} | {f"m{i}": (1, 10 + i) for i in range(30)}
+    for times in (1, 40):
+        sizes = {f"{k}-{c}": v for k, v in few.items() for c in range(times)}
+        table = spark.createDataFrame([(k, y, n) for k, (y, n) in sizes.items()], "source string, label int, rows long")
+        got = splits.assign_sources(table, "source", [0.7, 0.15, 0.15], (0, 1)).toPandas().set_index("source")
+        for y in (0, 1):
+            order = sorted((k for k, v in sizes.items() if v[0] == y), key=lambda k: (-sizes[k][1], k))
+            total = sum(sizes[k][1] for k in order)
+            seeds = [sizes[k][1] for k in order[:3]]
+            gaps = [max(r * total - n, 0.0) for r, n in zip((0.7, 0.15, 0.15), seeds)]
+            want, cum = dict(zip(order[:3], range(3))), 0
+            for k in order[3:]:
+                middle = (cum + sizes[k][1] / 2) / (total - sum(seeds))
+                cum += sizes[k][1]
+                want[k] = sum(middle > sum(gaps[: j + 1]) / sum(gaps) for j in range(2))
+            assert got.part[order].tolist() == [want[k] for k in order]
+
+
+def test_manifest_of_other_rows_is_refused(spark, tmp_path):
+    df = made(spark, {f"b{i}": (0, 40 + i) for i in range(20)} | {f"m{i}": (1, 10 + i) for i in range(20)})
+    path = str(tmp_path / "manifest")
+    first = splits.shared_split(df, path, **ARGS)
+    assert splits.shared_split(df, path, **ARGS).count() == first.count() == df.count()
+    with pytest.raises(splits.SplitError):
+        splits.shared_split(df.where("t > 0"), path, **ARGS)
 
 
 def test_oversized_source_is_cut_by_time(spark):
