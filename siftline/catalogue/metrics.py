@@ -87,8 +87,8 @@ def a3(spark, d):
 
 @query("A3_bracketed", A3_SQL)
 def a3_bracketed(spark, d):
-    """The same medians by the path for large tables: sketch brackets, then exact ranks inside them."""
-    return _a3(spark, d, force=True)
+    """The same medians under their second name: sketch brackets, then exact ranks inside them."""
+    return _a3(spark, d)
 
 
 A4_SQL = " UNION ALL ".join(

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import close, next_up
 from .metrics import curve, rates
-from .ordered import bounded_broadcast, exact_quantiles, is_small, scalars
+from .ordered import exact_quantiles, scalars
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], large: bool) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Adds per-key columns of ``right``; without keys they are scalars.
 
-    A key may own most of a ``large`` curve, so its one row is broadcast rather
-    than shuffled against it, after a look at the number of keys.
+    A key may own most of a curve; adaptive execution splits its rows, since
+    the other side has one row for each key.
     """
     if keys:
-        side = right.select(*keys, *columns)
-        return left.join(bounded_broadcast(side) if large else side, list(keys))
+        return left.join(right.select(*keys, *columns), list(keys))
     got = scalars(right.select(*columns))
     return left.withColumns({c: got[c] for c in columns})
 
@@ -37,7 +36,7 @@ def best_fbeta(points: DataFrame, keys: Sequence[str], beta: float) -> DataFrame
     """Threshold of the best F-beta; of nearly equal ones the highest recall, then the lowest threshold."""
     scored = points.withColumn("__f", _fbeta(beta))
     best = scored.groupBy(*keys).agg(F.max("__f").alias("__best"))
-    near = _join(scored, best, keys, ["__best"], not is_small(points)).where(close(F.col("__f"), F.col("__best")))
+    near = _join(scored, best, keys, ["__best"]).where(close(F.col("__f"), F.col("__best")))
     return near.groupBy(*keys).agg(F.max_by("score", F.struct(F.col("recall"), -F.col("score"))).alias("threshold"))
 
 
@@ -49,10 +48,9 @@ def recall_at_fpr(points: DataFrame, keys: Sequence[str], cap: float) -> DataFra
     top = points.groupBy(*keys).agg(next_up(F.max("score")).alias("__none"))
     fit = points.where(F.col("corner") & (F.col("fpr") <= cap))
     best = fit.groupBy(*keys).agg(F.max("recall").alias("__tpr"))
-    large = not is_small(points)
-    near = _join(fit, best, keys, ["__tpr"], large).where(close(F.col("recall"), F.col("__tpr")))
+    near = _join(fit, best, keys, ["__tpr"]).where(close(F.col("recall"), F.col("__tpr")))
     low = near.groupBy(*keys).agg(F.min("fpr").alias("__fpr"))
-    chosen = _join(near, low, keys, ["__fpr"], large).where(close(F.col("fpr"), F.col("__fpr")))
+    chosen = _join(near, low, keys, ["__fpr"]).where(close(F.col("fpr"), F.col("__fpr")))
     chosen = chosen.groupBy(*keys).agg(F.max("score").alias("__t"))
     if keys:
         out = top.join(chosen, list(keys), "left")
@@ -69,7 +67,7 @@ def best_f1(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Best F1 within 1e-12; ties by recall, precision, low FPR, then high threshold."""
     scored = points.withColumn("__f", _fbeta(1.0))
     best = scored.groupBy(*keys).agg(F.max("__f").alias("__best"))
-    near = _join(scored, best, keys, ["__best"], not is_small(points)).where(
+    near = _join(scored, best, keys, ["__best"]).where(
         close(F.col("__f"), F.col("__best"), 1e-12, 1e-12)
     )
     order = F.struct(F.col("__f"), F.col("recall"), F.col("precision"), -F.col("fpr"), F.col("score"))
@@ -79,7 +77,7 @@ def best_f1(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 def evaluate_thresholds(points: DataFrame, thresholds: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
     """Counts and rates of several thresholds (keys, method, threshold), from the curve instead of the rows."""
     if keys:
-        pairs = points.join(thresholds if is_small(points) else bounded_broadcast(thresholds), list(keys))
+        pairs = points.join(thresholds, list(keys))
     else:
         listed = scalars(thresholds.agg(F.collect_list(F.struct("method", "threshold")).alias("l")))["l"]
         pairs = points.withColumn("__l", listed).select("*", F.inline("__l")).drop("__l")
@@ -116,7 +114,7 @@ def calibrate(df: DataFrame, keys: Sequence[str], label: str, score: str) -> Dat
         -F.array_position(F.array(*[F.lit(m) for m in ("validation_f1", "validation_f2", "recall_at_fpr_cap")]), F.col("method")),
     )
     best = rated.groupBy(*keys).agg(F.max_by("method", order).alias("__best"))
-    return _join(rated, best, keys, ["__best"], False).withColumn("selected", F.col("method") == F.col("__best")).drop("__best")
+    return _join(rated, best, keys, ["__best"]).withColumn("selected", F.col("method") == F.col("__best")).drop("__best")
 
 
 def report_thresholds(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:

@@ -5,8 +5,9 @@ holds a third of the table that task never ends, so here the rows of a large
 key are first cut into contiguous slices of bounded size:
 
 1. a hash sample of the ordering columns gives cut points for the large keys
-   only: about one cut point per ``rows_per_slice`` rows of the whole table,
-   which bounds everything broadcast or collected here;
+   only: about one for every ``rows_per_slice`` rows of the whole table, and
+   never more than ``MAX_CUTS``, beyond which slices grow instead; that bounds
+   everything collected or broadcast here;
 2. every row finds its slice by binary search, map-side;
 3. rows just before a cut are also copied into the next slice ("halo"), so
    frames that look a few rows back stay exact;
@@ -14,7 +15,8 @@ key are first cut into contiguous slices of bounded size:
 5. running sums add the totals of the earlier slices, which are aggregated
    map-side and are as few as the cut points.
 
-The sample only decides where to cut; results never depend on it.
+The sample only decides where to cut; results never depend on it.  Inputs of
+every size take this way; without large keys there is nothing to cut.
 """
 
 from __future__ import annotations
@@ -28,22 +30,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 ROWS_PER_SLICE = 1_000_000
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
+#: Most cut points of one window: what the driver collects and every task gets.
+MAX_CUTS = 50_000
 MAX_LOOKUP_KEYS = 10_000
-_SEARCH_STEPS = [1 << p for p in range(20, -1, -1)]
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of ``df``; no job is run."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
+_SEARCH_STEPS = [1 << p for p in range(MAX_CUTS.bit_length() - 1, -1, -1)]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -89,10 +79,9 @@ class Ordered:
 
     ``order`` must be total within a key: end it with a unique column.
     ``halo`` is how many earlier rows of the key the expressions look back at.
-    ``rows_per_slice`` forces slicing; left out, inputs whose estimated size is
-    small keep the plain window.  An ``aggregated`` input costs a shuffle each
-    time it is read, so it is checkpointed before it is cut, and its true row
-    count decides.
+    A key of up to about ``rows_per_slice`` rows keeps the plain window.  An
+    ``aggregated`` input costs a shuffle each time it is read, so it is
+    checkpointed before it is cut.
     """
 
     def __init__(
@@ -110,14 +99,10 @@ class Ordered:
         if self._const:
             df = df.withColumn("__one_key", F.lit(0))
             self.keys = ["__one_key"]
-        self.sliced = rows_per_slice is not None or not is_small(df)
-        if self.sliced and aggregated:
-            df = cut_lineage(df)
-            self.sliced = rows_per_slice is not None or df.count() > ROWS_PER_SLICE
         self._running = 0
-        self.frame = df
-        if self.sliced:
-            self._cut(rows_per_slice or ROWS_PER_SLICE)
+        self.frame = cut_lineage(df) if aggregated else df
+        self.sliced = True
+        self._cut(rows_per_slice or ROWS_PER_SLICE)
         self._rows = self.frame
 
     # -- slicing -----------------------------------------------------------
@@ -138,13 +123,18 @@ class Ordered:
         )
         self._cut_type = cuts.select(F.array(F.struct("start", "halo")).alias("c")).schema["c"].dataType
         text = F.to_json(F.struct("start", "halo"), {"ignoreNullFields": "false"})
+        found = cuts.limit(MAX_CUTS + 1).count()
+        if found > MAX_CUTS:
+            thin = -(-cuts.count() // (MAX_CUTS // 2))
+            cuts = cuts.where(F.floor(F.col("__rn") / spacing) % thin == 0)
+        elif not found:
+            return []
         return cuts.select(*keys, "__rn", text.alias("__cut")).orderBy(*keys, "__rn").collect()
 
     def _cut(self, rows_per_slice: int) -> None:
         """Adds __slice, __halo and __hot; without large keys the plain window stays.
 
-        There is about one cut point per ``rows_per_slice`` rows of the table.
-        All of them form one constant of the plan; a row only carries where the
+        There are at most ``MAX_CUTS`` cut points.  All of them form one constant of the plan; a row only carries where the
         cut points of its key begin and how many there are.
         """
         cuts = self._cut_points(rows_per_slice)
@@ -278,15 +268,14 @@ def exact_quantiles(
     *,
     out: str = "q",
     accuracy: int = 10_000,
-    force: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key: ``keys``, ``n`` and array ``out``.
 
-    Small inputs use the exact ``percentile`` aggregate.  That aggregate keeps
-    every distinct value of a key in one task, so large inputs bracket each
-    quantile with a mergeable sketch first (rank error at most n / accuracy)
-    and only sort the values between the brackets, about ``8 / accuracy`` of
-    the rows.  The rank inside the bracket is counted exactly.
+    An exact ``percentile`` aggregate would keep every distinct value of a key in
+    one task.  So each quantile is bracketed with a mergeable sketch first (rank
+    error at most n / accuracy), and only the values between the brackets are
+    sorted, about ``8 / accuracy`` of the rows.  The rank inside the bracket is
+    counted exactly.  Inputs of every size take this way.
     """
     const = not keys
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
@@ -294,12 +283,6 @@ def exact_quantiles(
         rows, keys = rows.withColumn("__all", F.lit(0)), ["__all"]
     keys = list(keys)
     rows = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if not force and is_small(df):
-        res = rows.groupBy(*keys).agg(
-            F.count("__v").alias("n"), F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias(out)
-        )
-        return res.drop("__all") if const else res
-
     margin = 4.0 / accuracy
     marks = [m for p in probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
     brackets = rows.groupBy(*keys).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -48,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     made = tempfile.mkdtemp(prefix="siftline-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # this process's own folder
     spark.sparkContext.setCheckpointDir(made)
     return made
 

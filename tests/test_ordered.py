@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.operators import ordered
 from siftline.operators.ordered import Ordered, bounded_broadcast, exact_quantiles
 
 
@@ -73,16 +74,25 @@ def test_global_order_without_keys(skewed):
 def test_bracketed_quantiles_are_exact(skewed, accuracy):
     pdf, df = skewed
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["k"], "v", probs, force=True, accuracy=accuracy).toPandas().set_index("k")["q"]
+    got = exact_quantiles(df, ["k"], "v", probs, accuracy=accuracy).toPandas().set_index("k")["q"]
     for k, part in pdf.groupby("k"):
         assert np.allclose(got[k], np.quantile(part["v"], probs))
 
 
 def test_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
-    for force in (False, True):
-        row = exact_quantiles(df, [], "v", [0.5], force=force).first()
-        assert row["q"] == [2.0] and row["n"] == 2
+    row = exact_quantiles(df, [], "v", [0.5]).first()
+    assert row["q"] == [2.0] and row["n"] == 2
+
+
+def test_many_cuts_are_thinned(skewed, monkeypatch):
+    pdf, df = skewed
+    monkeypatch.setattr(ordered, "MAX_CUTS", 6)
+    o = Ordered(df, ["k"], ["v", "id"], rows_per_slice=5)
+    assert o.sliced and o.frame.select("k", "__slice").distinct().count() <= 6 + df.select("k").distinct().count()
+    got = o.position("p").done().toPandas()
+    want = pdf.sort_values(["v", "id"]).groupby("k").cumcount() + 1
+    assert got.set_index("id")["p"].sort_index().tolist() == want.set_axis(pdf.loc[want.index, "id"]).sort_index().tolist()
 
 
 def test_broadcast_only_within_bound(spark):
