@@ -79,6 +79,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def sql_draw(*parts: str) -> str:
+    """SQL twin of ``draw``."""
+    text = ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"CAST(concat('0x', substr(md5(concat_ws('|', {text})), 1, 12)) AS BIGINT)"
+
+
 def r(expression: str, digits: int = 6) -> str:
     """SQL twin of ``rounded`` for one expression."""
     return f"(round({expression}, {digits}) + 0.0)"

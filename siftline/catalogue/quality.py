@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.decision import decide
 from ..operators import quality, splits
 from ..operators.alignment import match_occurrences
-from .base import SQL_DECISIONS, T1, flows, items, query, r, sql_number, table
+from .base import SQL_DECISIONS, T1, flows, items, query, r, sql_draw, sql_number, table
 
 RAW = sql_number("bytes_per_s_raw")
 
@@ -102,6 +102,6 @@ def q14(spark, d):
     return quality.dataset_checks(flows(spark, d), "dataset", "source_file", "label", "ts", "row_id", ["fwd_len_mean"])
 
 
-@query("Q15")
+@query("Q15", f"SELECT count(*) AS n, bit_xor(h) AS hash_xor, CAST(sum(h) AS VARCHAR) AS hash_sum FROM (SELECT {sql_draw('row_id', 'source_file', 'label', 'split')} AS h FROM flows)")
 def q15(spark, d):
     return quality.fingerprint(flows(spark, d), ["row_id", "source_file", "label", "split"])

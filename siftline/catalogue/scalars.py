@@ -8,7 +8,7 @@ from ..functions import numeric as num
 from ..functions import text as txt
 from ..functions import times
 from ..operators import augment, prep, temporal
-from .base import FEATURES, T1, T2, T3, flows, items, query, r, sql_error_type, sql_log, sql_number, sql_ratio, table
+from .base import FEATURES, T1, T2, T3, flows, items, query, r, sql_draw, sql_error_type, sql_log, sql_number, sql_ratio, table
 
 RAW = sql_number("bytes_per_s_raw")
 
@@ -169,12 +169,18 @@ def a32(spark, d):
     return augment.warp_manifest(warped(spark, d), "source_file")
 
 
-@query("M16_hashed")
+@query("M16_hashed", f"""WITH w AS (SELECT *, CASE WHEN copy_index = 1 THEN 0.5 + (0.9 - 0.5) * u ELSE 1.1 + (2.0 - 1.1) * u END AS f FROM (SELECT *, CAST({sql_draw('source_file', 'copy_index', '42')} AS DOUBLE) / 281474976710656 AS u FROM flows, (VALUES (1), (2)) AS c(copy_index) WHERE split = 'train' AND label = 1))
+SELECT source_file AS original_source, printf('%s__FINAL_TIMEWARP__%d_s%.6f', source_file, copy_index, f) AS source_file, copy_index, {r('f')} AS time_scale, count(*) AS original_rows FROM w GROUP BY ALL""")
 def m16_hashed(spark, d):
     return augment.warp_manifest(warped(spark, d, augment.hashed_factor()), "source_file")
 
 
-@query("M17")
+def _noise(i: int) -> str:
+    unit = lambda salt: f"(CAST({sql_draw('row_id', str(i), '42', str(salt))} + 1 AS DOUBLE) / 281474976710657)"
+    return f"0.05 * sqrt(-2.0 * ln({unit(0)})) * cos(2.0 * 3.141592653589793 * {unit(1)})"
+
+
+@query("M17", "SELECT row_id, " + ", ".join(f"{r(f'{x} + {_noise(i)}')} AS {x}" for i, x in enumerate(FEATURES)) + " FROM flows")
 def m17(spark, d):
     return augment.add_noise(flows(spark, d), FEATURES, 0.05, "row_id").select("row_id", *FEATURES)
 

@@ -9,7 +9,7 @@ from ..functions.numeric import safe_ratio
 from ..operators import alignment, filters, forensic, quality, reporting, rules, sequence, splits, temporal
 from ..operators import metrics as met
 from ..operators.ordered import Ordered
-from .base import FEATURES, SCORES, T1, T2, T3, flows, items, query, r, sql_confusion, sql_error_type, sql_metrics, sql_ratio
+from .base import FEATURES, SCORES, T1, T2, T3, flows, items, query, r, sql_draw, sql_confusion, sql_error_type, sql_metrics, sql_ratio
 
 ENDPOINT = "PARTITION BY source_file, src_ip, dst_ip ORDER BY ts, row_id"
 
@@ -250,7 +250,9 @@ def r8(spark, d):
     return flows(spark, d).where(F.col("lstm_probability") >= 0.9).orderBy("source_file", "ts", "row_id").limit(50).select("row_id", "source_file")
 
 
-@query("R9")
+@query("R9", f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 0) AS b, count(*) FILTER (WHERE label = 1) AS m FROM flows), p AS (SELECT *, least(m, 600, 1000) AS m0, least(b, 2000 - least(m, 600, 1000)) AS b0 FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_draw('row_id', '42')}, row_id) AS i FROM flows)
+SELECT row_id, label, {', '.join(f'{r(x)} AS {x}' for x in SCORES)} FROM o, p WHERE n <= 2000 OR i <= CASE WHEN label = 0 THEN b0 ELSE least(m, 2000 - b0) END""")
 def r9(spark, d):
     from ..operators.augment import capped_sample
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.draws import DRAW_BITS, draw, unit_draw
 from ..functions.numeric import number_from_text
 from ..functions.text import is_rate_feature, is_timing_feature, warped_flow_id, warped_source
 from .columns import q
@@ -19,8 +20,7 @@ def hashed_factor(seed: int = 42) -> Callable[[Column, int], Column]:
 
     def factor(source: Column, copy: int) -> Column:
         low, high = K.WARP_RANGES[copy - 1]
-        u = F.pmod(F.xxhash64(source, F.lit(copy), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-        return F.lit(low) + (high - low) * u
+        return F.lit(low) + (high - low) * unit_draw(source, F.lit(copy), F.lit(seed))
 
     return factor
 
@@ -80,7 +80,7 @@ def add_noise(df: DataFrame, features: Sequence[str], std: float, row_id: str, s
         return df
 
     def normal(i: int) -> Column:
-        unit = lambda salt: (F.pmod(F.xxhash64(F.col(row_id), F.lit(i), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+        unit = lambda salt: (draw(F.col(row_id), F.lit(i), F.lit(seed), F.lit(salt)) + 1) / float((1 << DRAW_BITS) + 1)
         return F.sqrt(-2.0 * F.log(unit(0))) * F.cos(2.0 * 3.141592653589793 * unit(1))
 
     return df.withColumns({f: q(f) + F.lit(float(std)) * normal(i) for i, f in enumerate(features)})
@@ -89,7 +89,7 @@ def add_noise(df: DataFrame, features: Sequence[str], std: float, row_id: str, s
 def capped_sample(df: DataFrame, label: str, row_id: str, max_rows: int, max_malicious: int, seed: int = 42) -> DataFrame:
     """At most ``max_rows`` rows keeping both classes, drawn by hash.
 
-    The rows with the smallest hashes of each class are kept: a top-k that each
+    The rows with the smallest draws of each class are kept: a top-k that each
     task does on its own rows first.
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).take(3)}
@@ -98,6 +98,6 @@ def capped_sample(df: DataFrame, label: str, row_id: str, max_rows: int, max_mal
     malicious = min(counts.get(1, 0), max_malicious, max_rows // 2)
     benign = min(counts.get(0, 0), max_rows - malicious)
     malicious = min(counts.get(1, 0), malicious + max_rows - benign - malicious)
-    h = F.xxhash64(F.col(row_id), F.lit(seed))
+    h = draw(F.col(row_id), F.lit(seed))
     pick = lambda y, n: df.where(F.col(label) == y).orderBy(h, row_id).limit(n)
     return pick(0, benign).unionByName(pick(1, malicious))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.draws import draw
 from ..functions.numeric import finite, number_from_text
 from .ordered import Ordered, scalars, unpivot
 
@@ -159,18 +160,12 @@ def dataset_checks(df: DataFrame, dataset: str, source: str, label: str, ts: str
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Order-insensitive fingerprint of the rows: count, xor and sum of row hashes."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in columns])
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"bit_xor({_hash_sql(columns)})").alias("hash_xor"),
-        F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
+    hashed = df.select(draw(*[F.col(c) for c in columns]).alias("h"))
+    return hashed.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("hash_xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum")
     )
 
 
-def _hash_sql(columns: Sequence[str]) -> str:
-    return "xxhash64(" + ", ".join(f"cast(`{c}` as string)" for c in columns) + ")"
-
-
 def require_empty(violations: DataFrame, message: str) -> None:
     """Raise when a check found something; looks at a few rows only."""
     found = violations.take(5)
