@@ -62,6 +62,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)]
+                                                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y, c = nx.n AND c = ny.n AS same FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+            WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other
+        ), component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+        class AS (SELECT x AS doc_id, min(y) AS first FROM links WHERE same GROUP BY x)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS class_id, component_id
+        FROM documents JOIN component USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id)
+    """,
     "op4_exact_dedup": r"""
         WITH hashed AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
