@@ -34,6 +34,8 @@ from siftline.llm.tables import stored, whole
 
 #: Hashes that one task holds at a time, for prefixes and for indexed sets.
 TASK_HASHES = 400_000
+#: Sets whose prefixes are dealt together.
+BATCH_SETS = 2500
 #: Classes in a block, besides the limit on hashes.
 BLOCK_SETS = 1000
 #: DivideSkip's weight of probing a list against merging it.
@@ -69,9 +71,7 @@ def _dealt(ranges: int):
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.iloc[at : at + BATCH_SETS] for b in batches for at in range(0, len(b), BATCH_SETS)):
             own = [np.frombuffer(x, np.uint64) for x in batch["prefix"]]
             hashes = np.concatenate(own)
             owners = np.repeat(batch["owner"].to_numpy(np.int64), [len(x) for x in own])
@@ -108,20 +108,33 @@ def _common(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _shared(ranges: int):
-    """How many hashes of a range each set shares with another one."""
+    """How many hashes of a range each set shares with another one, packed by blocks of sets."""
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint32)
         owners = np.frombuffer(b"".join(rows["owners"]), np.int64)
-        if key[0] >= ranges:
-            return pd.DataFrame({"owner": owners, "shared": hashes.astype(np.int64)})
-        _, owners, common = _common(hashes, owners)
-        owner, times = np.unique(owners[common], return_counts=True)
-        return pd.DataFrame({"owner": owner, "shared": times.astype(np.int64)})
+        times = hashes.astype(np.int64)
+        if key[0] < ranges:
+            _, owners, common = _common(hashes, owners)
+            owners, times = np.unique(owners[common], return_counts=True)
+        block = owners % ranges
+        order = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(ranges + 1))
+        owners, times = owners[order], times[order].astype(np.int64)
+        out = [(b, owners[cuts[b] : cuts[b + 1]].tobytes(), times[cuts[b] : cuts[b + 1]].tobytes()) for b in range(ranges) if cuts[b] < cuts[b + 1]]
+        return pd.DataFrame(out, columns=["block", "owners", "times"])
 
     return count
 
 
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Shared hashes of each set of a block over all ranges."""
+    owners, at = np.unique(np.frombuffer(b"".join(rows["owners"]), np.int64), return_inverse=True)
+    total = np.zeros(len(owners), np.int64)
+    np.add.at(total, at, np.frombuffer(b"".join(rows["times"]), np.int64))
+    return pd.DataFrame({"owner": owners, "shared": total})
+
+
 class Index:
     """Inverted lists of a block's sets, searched by T-occurrence."""
 
@@ -258,8 +271,8 @@ def jaccard_components(
     # Copies have one owner, so they do not count as partners of each other.
     shared = (
         full.select(owner, "prefix").mapInPandas(_dealt(ranges), "part int, hashes binary, owners binary")
-        .groupBy("part").applyInPandas(_shared(ranges), "owner long, shared long")
-        .groupBy("owner").agg(F.sum("shared").alias("shared"))
+        .groupBy("part").applyInPandas(_shared(ranges), "block int, owners binary, times binary")
+        .groupBy("block").applyInPandas(_summed, "owner long, shared long")
     )
     least = F.ceil(F.col("n") * share.numerator / share.denominator)
     needed = F.greatest(F.lit(1), F.floor(least * 3 / 20))
