@@ -13,7 +13,7 @@
 
 An anchor with more than about a thousandth of all contexts, such as one at the
 edge of a passage that a third of all documents quote, is settled by counting
-hashes of its windows instead, which are summed where they are read.
+hashes of its windows instead, which are first counted where they are read.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from siftline.llm.lyndon import suffix_array
 from siftline.llm.tables import stored, whole
 
 #: Anchors, and bytes of contexts, that one task holds at a time.
-TASK_ANCHORS = 300_000
-TASK_BYTES = 4_000_000
+TASK_ANCHORS = 200_000
+TASK_BYTES = 2_000_000
 #: Counters of the summaries that find frequent anchors, and so the most that are broadcast.
 COUNTERS = 1023
 #: Offsets of windows from their anchor that are judged together.
@@ -203,18 +203,77 @@ def _settled(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "begin", "end"], dtype="int64")
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash of every window of some contexts."""
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.iloc[at : at + 2000]
-            hashes = [Rolling(x).all(WINDOW).view(np.int64) for x in part["data"]]
-            sizes = [len(x) for x in hashes]
-            nth = np.concatenate([np.arange(x) for x in sizes] or [np.zeros(0, np.int64)])
-            yield pd.DataFrame({
-                "window": np.concatenate(hashes or [np.zeros(0, np.int64)]), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes),
-                "begin": np.repeat(part["first"].to_numpy(), sizes) + nth, "times": np.repeat(part["times"].to_numpy(), sizes),
-            })
+def _merged(doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that cover the windows at these places."""
+    order = np.lexsort((begin, doc))
+    doc, begin = doc[order], begin[order]
+    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + WINDOW)])[: len(doc)]
+    starts = np.flatnonzero(first)
+    ends = begin[np.append(starts[1:], len(begin)) - 1] + WINDOW if len(begin) else begin
+    return doc[starts], begin[starts], ends
+
+
+def _totals(windows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by window, the first of each window in it, and how often each is there."""
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    lead = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+    number = np.cumsum(lead) - 1
+    return order, lead, np.bincount(number, weights=times[order]).astype(np.int64)[number] if len(ranked) else times
+
+
+_DEALT = "part int, windows binary, docs binary, begins binary, times binary"
+
+
+def _windows(ranges: int):
+    """Window hashes of some contexts by range, as packed arrays.
+
+    A window that some of these contexts share is covered in all of them, which
+    goes as spans of its own behind the ranges; one of them goes on with their
+    number, so a window that a third of all documents hold is sent once for each
+    lot of contexts.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                own = [Rolling(x).all(WINDOW) for x in part["data"]]
+                sizes = np.array([len(x) for x in own])
+                nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                windows = np.concatenate(own)
+                doc = np.repeat(part["doc_id"].to_numpy(np.int64), sizes)
+                begin = np.repeat(part["first"].to_numpy(np.int64), sizes) + nth
+                order, lead, total = _totals(windows, np.repeat(part["times"].to_numpy(np.int64), sizes))
+                windows, doc, begin = windows[order], doc[order], begin[order]
+                spans = _merged(doc[total > 1], begin[total > 1])
+                out = [(ranges + at // 2000 % ranges, b"", *(x.tobytes() for x in spans))] if len(spans[0]) else []
+                windows, doc, begin, total = windows[lead], doc[lead], begin[lead], total[lead]
+                place = (windows % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+                packed = [x[order] for x in (windows, doc, begin, total)]
+                out += [(r, *(x[cuts[r] : cuts[r + 1]].tobytes() for x in packed)) for r in range(ranges) if cuts[r] < cuts[r + 1]]
+                yield pd.DataFrame(out, columns=["part", "windows", "docs", "begins", "times"])
+
+    return deal
+
+
+def _counted(ranges: int):
+    """Spans of the windows of a range that stand in several places."""
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        windows, doc, begin, times = (
+            np.frombuffer(b"".join(rows[c]), kind)
+            for c, kind in (("windows", np.uint64), ("docs", np.int64), ("begins", np.int64), ("times", np.int64))
+        )
+        if key[0] >= ranges:
+            return pd.DataFrame({"doc_id": doc, "begin": begin, "end": times})
+        order, _, total = _totals(windows, times)
+        again = total > 1
+        return pd.DataFrame(dict(zip(("doc_id", "begin", "end"), _merged(doc[order][again], begin[order][again]))))
+
+    return count
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -231,13 +290,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         .groupBy("unit").applyInPandas(_met, schema)
     )
     # A frequent anchor may have any number of contexts; their numbers are summed by context instead.
-    held = contexts.join(frequent, "gram")
-    sums = held.groupBy("gram", "context").agg(F.count("*").cast("int").alias("times"), F.min(F.struct("doc_id", "first")).alias("lead"))
+    held = reduced.where("lead").drop("lead").join(frequent, "gram")
+    sums = held.groupBy("gram", "context").agg(F.sum("times").cast("int").alias("times"), F.min(F.struct("doc_id", "first")).alias("lead"))
     hot = held.drop("times").join(sums, ["gram", "context"]).select(
         "doc_id", "gram", "first", "windows", "off", "times", (F.col("times") > 1).alias("full"),
         (F.struct("doc_id", "first") == F.col("lead")).alias("ask"),
     )
-    found = stored(usual.unionByName(hot).unionByName(settled.join(frequent, "gram", "left_anti")), "met")
+    found = stored(usual.unionByName(hot).unionByName(settled), "met")
     asked = found.where("ask").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "windows", "off", "times")).alias("asked"))
     schema = "doc_id long, gram long, first int, windows short, off short, times int, data binary"
     looked = stored(texts.join(asked.hint("merge"), "doc_id").mapInPandas(_cut, schema), "looked")
@@ -246,9 +305,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         looked.join(frequent, "gram", "left_anti").withColumn("unit", F.pmod(F.xxhash64("gram"), F.lit(max(1, size // TASK_BYTES))))
         .groupBy("unit").applyInPandas(_settled, "doc_id long, begin long, end long")
     )
-    windows = looked.join(frequent, "gram").mapInPandas(_windows, "window long, doc_id long, begin long, times int")
-    often = windows.groupBy("window").agg(F.sum("times").alias("held")).where("held > 1").select("window")
-    single = windows.where("times = 1").join(often, "window").select("doc_id", "begin", (F.col("begin") + WINDOW).alias("end"))
+    hot = looked.join(frequent, "gram")
+    ranges = max(1, (hot.agg(F.sum("windows")).first()[0] or 0) // TASK_ANCHORS)
+    single = (
+        hot.select("doc_id", "first", "times", "data").mapInPandas(_windows(ranges), _DEALT)
+        .groupBy("part").applyInPandas(_counted(ranges), "doc_id long, begin long, end long")
+    )
     full = found.where("full").select("doc_id", F.col("first").cast("long").alias("begin"), (F.col("first") + F.col("windows") + (WINDOW - 1)).cast("long").alias("end"))
     return full.union(pieces).union(single)
 
