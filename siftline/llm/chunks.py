@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of one generation of a worker's table; the last two are kept, so the memory is bounded and frequent chunks stay.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 150_000
 #: Longer chunks are segmented where they stand instead of being kept.
 KEPT_CHARS = 64
 

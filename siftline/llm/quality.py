@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftline.llm.tables import whole
 
 #: Words sorted together; a longer document is a block of its own.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 150_000
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 

@@ -22,7 +22,7 @@ class WordHashes(dict):
     """64-bit hash of each word, computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
