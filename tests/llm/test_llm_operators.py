@@ -222,6 +222,19 @@ def test_added_personal_data_needs_its_checks(spark):
     assert masked == {0: "write <EMAIL> or <PHONE>!", 2: "none"}
 
 
+def test_iban_ends_where_its_country_says(spark):
+    cases = {
+        "IBAN DE89370400440532013000 Please pay": "iban:5:27", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "iban:5:32",
+        "GB82 WEST 1234 5698 7654 32 And more": "iban:0:27", "DE89 3704 0044 0532 0130 00 I said": "iban:0:27",
+        "BE68 5390 0754 7034 EUR 20": "iban:0:19", "NR12 IBAN DE89 3704 0044 0532 0130 00 2024": "iban:10:37",
+        "XX46370400440532013000 Please": "iban:0:22", "XX46 3704 0044 0532 0130 00 Please": "iban:0:27", "DE89370400440532013000X": "",
+        "DE89370400440532013001 Please": "", "GB82 WEST 1234 5698 7654 32, DE89370400440532013000 Or": "iban:0:27,iban:29:51",
+    }
+    out = got(pii.find_pii(frame(spark, list(cases))), "doc_id", "pii")
+    shown = [",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in spans if x["kind"] == "iban") for _, spans in out]
+    assert dict(zip(cases, shown)) == cases
+
+
 # -- 8 ------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
