@@ -106,7 +106,7 @@ ADDED = (
     Kind("card15", r"(?<![0-9])3[47](?:[\x20-]?[0-9]){13}(?![\x20-]?[0-9])", _card(15, 15), None, 0.4, "card|amex|american express|credit"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), "-", 0.3, r"\bssn\b|social security"),
     Kind(
-        "phone_local", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", lambda m: F.lit(True), "-", 0.3,
+        "phone_local", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])", lambda m: F.lit(True), None, 0.3,
         r"phone|call|\btel\b|mobile|fax|whatsapp",
     ),
 )

@@ -235,6 +235,11 @@ def test_iban_ends_where_its_country_says(spark):
     assert dict(zip(cases, shown)) == cases
 
 
+def test_local_phone_with_points_only(spark):
+    out = dict(got(pii.pii_digests(pii.find_pii(frame(spark, ["please call 555.123.4567", "555 123.4567 (mobile)", "v 555.123.4567"]))), "doc_id", "spans"))
+    assert out == {0: "phone_local:12:24", 1: "phone_local:0:12", 2: ""}
+
+
 # -- 8 ------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
