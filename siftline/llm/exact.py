@@ -96,12 +96,16 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text no row with a smaller id has; rows that repeat both id and text stay together."""
+    """One row of each group of equal texts, as ``kept`` marks it.
+
+    Of rows that repeat both id and text (but for white space) the one with the
+    smallest text stays.  They are cut down before the shuffle, which the join
+    uses again.
+    """
     found = exact_duplicates(df, id_col, text_col)
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")
+        F.struct("doc_id", F.col("text_sha256").alias("digest")).alias("_key")
     )
-    keyed = df.withColumn("_digest", F.sha2(normalised(text_col), 256))
-    return keyed.join(
-        dropped.hint("merge"), keyed[id_col].eqNullSafe(dropped["_gone_id"]) & (keyed["_digest"] == dropped["_gone_text"]), "left_anti"
-    ).drop("_digest")
+    keyed = df.withColumn("_key", F.struct(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("digest")))
+    first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(text_col))).where("_nth = 1")
+    return first.join(dropped.hint("merge"), "_key", "left_anti").select(*df.columns)

@@ -122,6 +122,16 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     assert sum(r["kept"] for r in out) == 2 and {r["group_size"] for r in out} == {2, 3}
 
 
+def test_rows_left_by_exact_dedup_are_those_op4_keeps(spark):
+    rows = [(1, "a  b"), (1, "a b"), (2, "a b"), (3, "c"), (3, "c"), (3, "d"), (None, "c"), (None, "e"), (None, "e"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5)
+    found = exact.exact_duplicates(df)
+    want = sorted((str(r["doc_id"]), r["text_sha256"]) for r in found.collect() if r["kept"])
+    left = exact.without_copies(df)
+    assert sorted((str(r["doc_id"]), brute.exact([r["text"]])[0][4]) for r in left.collect()) == want
+    assert left.columns == df.columns and len(want) == 5
+
+
 # -- 5 ------------------------------------------------------------------------------
 
 
