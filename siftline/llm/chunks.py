@@ -43,8 +43,8 @@ class BytePairs:
 
     A single space between two characters that are not white space begins a new
     pre-token, so a text is cut there and each distinct piece is looked up.
-    Texts with characters outside Latin go to the tokenizer whole.  Strings of
-    special tokens are ordinary text.
+    Texts with characters outside Latin, or with the string of an added token,
+    go to the tokenizer whole, which gives such a string the token's own id.
     """
 
     #: Texts of these characters only, whose classes are the same in every engine; others are left to the tokenizer itself.
@@ -57,7 +57,7 @@ class BytePairs:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         merges = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -77,7 +77,7 @@ class BytePairs:
         return self._ids(" " + word)
 
     def encode(self, text: str) -> bytes:
-        if self._OTHER.search(text):
+        if self._OTHER.search(text) or any(token in text for token in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text or " \n" in text or "\n " in text:
             return self._ids(text)

@@ -203,9 +203,13 @@ def test_byte_pairs_equal_the_tokenizer():
 
     tokenizer, rng = Tokenizer.from_file(TOKENS[0]), random.Random(1)
     parts = ["it's", "we'll", "The", "été", "12", "3.4", " ", "  ", "\n", "\t", "a_b", "--", "日本", " ", "x.", "y,", "'s", "ª", "🙂"]
+    parts += ["<|endoftext|>", "<|endoftext"]
     for _ in range(500):
         text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))
         assert np.frombuffer(byte_pairs(*TOKENS).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "日本 <|endoftext|>x", "<|endoftext|><|endoftext|> é"):
+        ids = np.frombuffer(byte_pairs(*TOKENS).encode(text), "<u4").tolist()
+        assert ids == Tokenizer.from_file(TOKENS[0]).encode(text, add_special_tokens=False).ids and 50256 in ids
 
 
 # -- 7 ------------------------------------------------------------------------------
