@@ -4,7 +4,8 @@ A page is cut into blocks of text, each under a path of containers: tags and
 classes with digits and order removed, so that pages made from one template
 share their paths.  Every page votes for the path of its best container, votes
 are counted per host, and each page is then read again with the winning paths
-of its host.
+of its host.  Text beside the winning container, such as a title and a lead,
+belongs to the article unless it is marked aside or made of links.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ class Block:
     path: str
     text: str
     linked: int
+    title: bool = False
 
 
 def _aside(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -108,7 +110,7 @@ def read_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(stack[-1][1] if stack else "body", text, linked))
+                blocks.append(Block(stack[-1][1] if stack else "body", text, linked, bool(stack) and stack[-1][0] == "h1"))
             parts.clear()
         linked = 0
 
@@ -199,14 +201,41 @@ def _under(blocks: list[Block], path: str) -> list[Block]:
     return [b for b in blocks if b.path == path or b.path.startswith(path + "/")]
 
 
+def _whole_article(blocks: list[Block], path: str) -> list[Block]:
+    """Blocks under a path and those that its outer containers add to it.
+
+    Blocks of links alone are not added, except a title; an outer container
+    belongs to the article while the rest is more text than links.  An
+    article element is whole by itself, and the page's body is never a container
+    of the article alone.
+    """
+    inner = {id(b) for b in _under(blocks, path)}
+    if any(step.split(".")[0] in ("article", "main") for step in path.split("/")):
+        return [b for b in blocks if id(b) in inner]
+    outer = path.rpartition("/")[0]
+    met = set(inner)
+    while "/" in outer:
+        added = [b for b in _under(blocks, outer) if id(b) not in met]
+        met.update(map(id, added))
+        added = [b for b in added if b.title or b.linked < len(b.text)]
+        if sum(len(b.text) if b.title else len(b.text) - 2 * b.linked for b in added) < 0:
+            break
+        inner.update(map(id, added))
+        outer = outer.rpartition("/")[0]
+    return [b for b in blocks if id(b) in inner]
+
+
 def main_text(blocks: list[Block], winning: list[str]) -> str:
-    """Text under the first winning path that the page has, or under its own best one."""
+    """The article around the first winning path that the page has, or around its own best one."""
     for path in winning:
-        own = _under(blocks, path)
-        if own:
-            return "\n".join(b.text for b in own)
-    best = best_path(blocks)
-    return "\n".join(b.text for b in _under(blocks, best[0])) if best else ""
+        if _under(blocks, path):
+            break
+    else:
+        best = best_path(blocks)
+        if not best:
+            return ""
+        path = best[0]
+    return "\n".join(b.text for b in _whole_article(blocks, path))
 
 
 def host_paths(df: DataFrame, url_col: str = "url", html_col: str = "html", share: float = WINNING_SHARE) -> DataFrame:

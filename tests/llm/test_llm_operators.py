@@ -282,6 +282,19 @@ def test_consensus_overrules_a_single_page(spark):
     assert out[6] == "brief"
 
 
+def test_title_lead_and_closing_beside_the_body_container(spark):
+    page = (
+        '<body><div class="page"><div class="links"><a href=x>%s</a></div><div class="post"><h1><a href=y>Title</a></h1><div class="lead"><p>The lead, see'
+        ' <a href=z>this</a>.</div><div class="sidebar">Side</div><div class="text"><p>%s</div><div class="more"><a href=o>Other page</a></div>'
+        '<div class="end"><p>Closing.</div></div></div></body>'
+    )
+    pages = [(i, "http://h/", page % ("Elsewhere " * 30, "body text %d " % i * 40)) for i in range(3)]
+    out = html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {
+        i: "\n".join(["Title", "The lead, see this.", ("body text %d " % i * 40).strip(), "Closing."]) for i in range(3)
+    }
+
+
 # -- 9 ------------------------------------------------------------------------------
 
 
