@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, html, jaccard, licenses, packing, pii, quality, secrets, sentencepieces, substrings
-from siftline.llm.tables import documents, pages
+from siftline.llm import (
+    centroids, exact, html, jaccard, licenses, packing, pii, quality, secrets, sentencepieces, spellings, substrings, tokenfiles,
+)
+from siftline.llm.tables import documents, embeddings, pages
+from siftline.session import scratch_path
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +57,53 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(documents(spark, sf_dir)))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write_tokens(
+        documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return tokenfiles.token_digests(tokenfiles.read_tokens(spark, path))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(embeddings(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_variants(documents(spark, sf_dir))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Every round as two tables: the cluster of each vector, then the centroids after it."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS (SELECT nth, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN c{r} m USING (i) GROUP BY ALL),
+        a{r} AS (SELECT nth, min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d FROM d{r} GROUP BY nth)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (nth) GROUP BY ALL),
+        c{r + 1} AS (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS parts,
+                   row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) - 1 AS nth
+            FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), v AS (SELECT nth, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM kept),
+        c0 AS (SELECT nth AS c, i, x FROM v WHERE nth < {k}),{",".join(steps)},
+        hashed AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN kept USING (nth) JOIN hashed USING (c)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_ngram_jaccard, op3_suffix_dedup, op4_exact_dedup, op5_packing, op6_sentencepiece, op7_pii,
-        op8_html_extraction, op9_quality_rules, op10_secret_scan,
+        op8_html_extraction, op9_quality_rules, op10_secret_scan, op11_token_output, op12_centroid_clustering, op13_spelling_variants,
     )
 }
 
@@ -91,4 +137,46 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM hashed WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op12_centroid_clustering": _cluster_sql(),
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT [list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                                lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS step
+        ), runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+            FROM documents
+        ), counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        bytes AS (
+            SELECT id, run, n, flatten(list_transform(string_split(id || ':' || run, ''),
+                       lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, CAST(unicode(ch) AS BIGINT) - 64] END)) AS bs
+            FROM counted
+        ), checked AS (
+            SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM bytes, crc
+        ), words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                   CAST(sum(n) AS BIGINT) AS n
+            FROM checked GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+        ), cut AS (
+            SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (head, tail) WHERE a.word <> b.word
+            UNION SELECT w.word, cut.word FROM cut JOIN words w ON w.word = head || tail
+            UNION SELECT cut.word, w.word FROM cut JOIN words w ON w.word = head || tail
+        ), ranked AS (
+            SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                   row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS nth
+            FROM near JOIN words w ON w.word = other
+        ), forms AS (
+            SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * words.n THEN other END AS form,
+                   CASE WHEN other_n >= 5 * words.n THEN other_n END AS form_n
+            FROM words LEFT JOIN ranked ON ranked.word = words.word AND nth = 1
+        ), chain(word, root, next) AS (
+            SELECT word, word, form FROM forms
+            UNION ALL SELECT chain.word, forms.word, forms.form FROM chain JOIN forms ON forms.word = chain.next
+        )
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN chain ON chain.word = forms.word AND chain.next IS NULL
+    """,
 }

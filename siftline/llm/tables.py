@@ -16,6 +16,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def whole(text: Column | str) -> Column:
     """The text itself; a missing one is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -127,3 +127,58 @@ def quality(text):
             mark[i : i + 8] = [1] * 8
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), sum(mark)
+
+
+def centroids(rows, k, rounds):
+    """(vec, cluster, distance, cluster inertia, inertia, digest of centroid)"""
+    import math
+    import struct
+
+    single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    vectors = [(i, [math.floor(256 * single(x)) for x in v]) for i, v in rows]
+    start = sorted((sha(f"2:{i}"), v) for i, v in vectors if i is not None)
+    at = [v for _, v in start[:k]]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
+    nearest = lambda v: min((far(v, c), j) for j, c in enumerate(at))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in vectors:
+            groups[nearest(v)[1]].append(v)
+        at = [[sum(x) // len(groups[j]) for x in zip(*groups[j])] if j in groups else c for j, c in enumerate(at)]
+    found = [(i, *nearest(v)[::-1]) for i, v in vectors]
+    inertia = Counter()
+    for _, j, d in found:
+        inertia[j] += d
+    return [(i, j, d, inertia[j], sum(inertia.values()), sha(",".join(map(str, at[j])))) for i, j, d in found]
+
+
+def one_apart(a, b):
+    """One inserted, deleted or replaced code point."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spellings(rows):
+    """(word, form, root, n, near, n of form)"""
+    import zlib
+
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    near = {w: [x for x in words if abs(len(x) - len(w)) < 2 and one_apart(w, x)] for w in words}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= 5 * n else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items())

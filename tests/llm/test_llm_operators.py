@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from siftline.llm import exact, html, jaccard, licenses, packing, pii, quality, queries, secrets, sentencepieces, substrings  # noqa: E402
+from siftline.llm import (  # noqa: E402
+    centroids, exact, html, jaccard, licenses, packing, pii, quality, queries, secrets, sentencepieces, spellings, substrings, tokenfiles,
+)
 from siftline.llm.chunks import byte_pairs  # noqa: E402
+from siftline.llm.eliasfano import EliasFano, encoded  # noqa: E402
 from siftline.llm.lyndon import suffix_array  # noqa: E402
 
 ODD = [None, "", " ", "a", "\n\n", "é", "🙂 x", "a  b", "▁ ▁x", "日本語 テスト", "x " * 3000, "0 " * 2000, "y" * 5000]
@@ -347,6 +350,123 @@ def test_secrets(spark):
     assert secrets.secret_spans("key ghp_" + "a1B2" * 9) == [("github", 4, 44)]
 
 
+# -- 11 -----------------------------------------------------------------------------
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 255, 256, 257, 3000):
+        for top in (1, 10, 1000, 2**40, 2**62):
+            values = np.sort(rng.integers(0, top, n).astype(np.uint64))
+            packed = encoded(values)
+            read = EliasFano(packed)
+            assert (read.values(0, n) == values).all()
+            for _ in range(20 if n else 0):
+                i, x = int(rng.integers(n)), int(rng.integers(0, top + 1))
+                assert read.select(i) == int(values[i]) and read.below(x) == int(np.searchsorted(values, np.uint64(x)))
+    ends = np.cumsum(rng.integers(1, 2000, 100_000)).astype(np.uint64)
+    assert 8 * len(encoded(ends)) < len(ends) * (2.2 + np.log2(int(ends[-1]) / len(ends)))
+
+
+def token_rows(rows):
+    """(doc, start, ids) in the order of the files, by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    tokenizer, out, start = Tokenizer.from_file(TOKENS[0]), [], 0
+    for doc, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        out.append((doc, start, np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    return out
+
+
+def test_token_output(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "READ_IDS", 700)
+    path = str(tmp_path / "ids")
+    tokenfiles.write_tokens(frame(spark, corpus), path, *TOKENS, shard_ids=3000)
+    tokens = tokenfiles.read_tokens(spark, path)
+    want = token_rows(enumerate(corpus))
+    assert got(tokens, "doc_id", "start", "ids") == want
+    import zlib
+
+    assert got(tokenfiles.token_digests(tokens), "doc_id", "start", "n_tokens", "ids_crc32") == [
+        (doc, start, len(ids) // 4, zlib.crc32(ids)) for doc, start, ids in want
+    ]
+    with pytest.raises(Exception, match="holds a table"):
+        tokenfiles.write_tokens(frame(spark, corpus[:3]), path, *TOKENS)
+
+
+def test_token_output_without_ids_and_with_repeated_ones(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    rows = [(7, "x y", 1), (None, "a b", 1), (7, "x y", 2), (-3, None, None), (None, None, 3), (7, "z", None)]
+    tokenfiles.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, ids int"), path, *TOKENS)
+    out = sorted(tokenfiles.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, None, -3, 7, 7, 7]
+    assert sorted(bytes(r["ids"]) for r in out) == sorted(ids for _, _, ids in token_rows([r[:2] for r in rows]))
+    assert [r["start"] for r in out] == [sum(x["n_tokens"] for x in out[:i]) for i in range(6)]
+
+
+def test_a_shard_gives_single_documents(tmp_path):
+    from pyarrow import fs
+
+    store, path = fs.LocalFileSystem(), str(tmp_path / "one")
+    writer = tokenfiles.ShardWriter(store, path, 2)
+    docs = [np.arange(i % 7 + 1, dtype="<u2") for i in range(1000)]
+    for i, ids in enumerate(docs):
+        writer.add(3 * i, ids.tobytes())
+    writer.close()
+    shard = tokenfiles.Shard(store, path)
+    for i in (0, 1, 255, 256, 999):
+        assert shard.document(i).tolist() == docs[i].tolist() and shard.doc_ids(i, i + 1) == [3 * i]
+    cuts = [shard.starting_in(a, a + 100) for a in range(0, sum(map(len, docs)), 100)]
+    assert cuts[0][0] == 0 and cuts[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+
+
+# -- 12 -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_centroid_clusters(spark, chunk):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(5)]) for i in range(150)] + [(900 + i, [0.25] * 5) for i in range(60)]
+    odd = [(1, None), (2, []), (3, [0.1] * 4), (4, [0.1, None, 0.1, 0.1, 0.1]), (5, [float("nan")] * 5), (6, [float("inf")] + [0.0] * 4)]
+    rows += [(7, [-300.0] * 5), (7, [-300.0] * 5), (None, [0.5] * 5)]
+    df = spark.createDataFrame([(*r, 1) for r in rows + odd], "vec_id long, embedding array<float>, cluster int").repartition(3)
+    out = centroids.centroid_clusters(df, k=9, rounds=4, dim=5, chunk=chunk)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(brute.centroids(rows, 9, 4), key=repr)
+
+
+def test_fewer_vectors_than_clusters_and_far_ones(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert got(centroids.centroid_clusters(df, dim=2), "vec_id", "cluster", "distance") == [(1, 0, 0), (2, 0, 0)]
+    with pytest.raises(Exception, match="would leave 64 bits"):
+        centroids.centroid_clusters(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), dim=1).collect()
+
+
+# -- 13 -----------------------------------------------------------------------------
+
+
+def test_spelling_variants(spark, corpus):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdeéÿ") for _ in range(rng.randrange(5, 12))) for _ in range(60)] + ["ñ" * 3000]
+    texts = []
+    for word in base:
+        for _ in range(4):
+            at = rng.randrange(len(word))
+            other = word[:at] + rng.choice(["", "x", "ab", "É"]) + word[at + rng.randrange(2) :]
+            texts += [f"{other}, {word.upper()}-{word} "] * rng.choice([5, 6, 30])
+    texts = [" ".join(texts[i : i + 40]) for i in range(0, len(texts), 40)] + corpus
+    want = brute.spellings(list(enumerate(texts)))
+    assert sum(x[1] is not None for x in want) > 20
+    assert got(spellings.spelling_variants(frame(spark, texts)), "word", "form", "root", "n", "n_near", "form_n") == want
+
+
+def test_signatures_meet_for_every_near_pair(spark):
+    words = ["aaaaaa", "aaaaab", "aaaaa", "baaaaa", "abaaaa", "abcdef", "abcdeg", "xbcdef", "abcxdef", "bcdef", "abcde", "abdcef", "ééééé", "éééé"]
+    found = spellings.near_words(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert got(found, "word", "other") == sorted((a, b) for a in words for b in words if brute.one_apart(a, b))
+
+
 # -- all ----------------------------------------------------------------------------
 
 
@@ -354,6 +474,7 @@ def test_empty_tables(spark, tmp_path):
     documents = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     documents.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
 
@@ -362,6 +483,6 @@ def test_null_ids_and_repeated_rows(spark, tmp_path):
     rows = [(1, "a b c d e", "en", None, None), (1, "a b c d e", "en", None, None), (None, None, None, None, None), (None, "a b c d e", None, "s", 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     for name, query in queries.QUERIES.items():
-        if name.startswith("op8_"):
+        if name.startswith(("op8_", "op12_", "op13_")):  # other tables, or not a row per document
             continue
         assert query(spark, str(tmp_path)).count() == 4, name
