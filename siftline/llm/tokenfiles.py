@@ -29,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from siftline.llm.chunks import byte_pairs
 from siftline.llm.eliasfano import EliasFano, encoded
-from siftline.llm.tables import stored, whole
+from siftline.llm.tables import whole
 
 FORMAT = "token_ids"
 MANIFEST = "_manifest.json"
@@ -256,17 +256,17 @@ def write_tokens(
     """Ids of every text and the end id behind it, in ascending order of an integer id.
 
     A null or empty text is the end id alone.  Rows without an id come first;
-    rows that share an id stand in the order of a hash of their ids of tokens.
+    rows that share an id stand in the order of a hash of their texts.
     An empty table gives an empty table of tokens; other columns are ignored.
     """
     spark = df.sparkSession
     spark.dataSource.register(TokenSource)
     width = 2 if max(end_id, byte_pairs(json_path, ranks_path, pattern).tokenizer.get_vocab_size() - 1) < 1 << 16 else 4
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    ids = stored(rows.mapInPandas(_encode(json_path, ranks_path, pattern, end_id, width), "doc_id long, ids binary"), "token-ids")
-    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)  # before the ids exist: texts pack better than ids
     (
-        ids.repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered.mapInPandas(_encode(json_path, ranks_path, pattern, end_id, width), "doc_id long, ids binary")
         .write.format(FORMAT).option("width", width).option("shardIds", shard_ids).mode("append").save(path)
     )
 
