@@ -12,8 +12,6 @@ from .temporal import history
 
 RAW = sql_number("bytes_per_s_raw")
 STATIC = ["fwd_len_mean", "fwd_len_std", "flow_iat_std"]
-# Forest of the registered queries: as the default, but fewer and shallower trees.
-SMALL_FOREST = {**K.FOREST, "numTrees": 20, "maxDepth": 8}
 FIT_FEATURES = ["fwd_len_mean", "flow_iat_std", "bytes_per_s_raw"]
 
 
@@ -67,7 +65,7 @@ FOREST_FEATURES = [*STATIC, "InterFlow Delta", *K.rolling_names(FEATURES)]
 @query("L4")
 def l4(spark, d):
     df = cut_lineage(history(spark, d))
-    forest = models.Forest.fit(df.where("split = 'train'"), FOREST_FEATURES, "label", SMALL_FOREST)
+    forest = models.Forest.fit(df.where("split = 'train'"), FOREST_FEATURES, "label")
     return forest.score(df.where("split = 'test'")).select("row_id", "label", "rf_probability")
 
 
@@ -75,28 +73,49 @@ def l4(spark, d):
 def l5(spark, d):
     out = jobs.forest_job(
         flows(spark, d), source="source_file", src_ip="src_ip", dst_ip="dst_ip", ts="ts", row_id="row_id", label="label",
-        static=STATIC, rolling=FEATURES, folds=3, params=SMALL_FOREST,
+        static=STATIC, rolling=FEATURES, folds=3,
     )
     return out["oof"]
 
 
-@query("L6")
-def l6(spark, d):
-    """Two configurations, two datasets, nested folds; equal-weight ranking."""
-    df = flows(spark, d).withColumns(
-        {"outer": (F.floor(F.col("user_id") / 10) % 2 + 1).cast("int"), "inner": (F.floor(F.col("user_id") / 20) % 2 + 1).cast("int")}
-    )
+def nested_rows(spark, d):
+    """Both data sets with five outer folds by source and three inner ones across them."""
+    df = flows(spark, d).withColumns({
+        "outer": (F.floor(F.col("user_id") / 10) % 5 + 1).cast("int"),
+        "inner": (F.floor(F.col("user_id") / 10) % 3 + 1).cast("int"),
+    })
     df = cut_lineage(df.select("row_id", "dataset", "label", "outer", "inner", *STATIC))
-    grid = models.one_factor_grid({**K.FOREST, "numTrees": 5, "maxDepth": 5}, {"maxDepth": [3]})
-    runs = models.tune(
-        {ds: df.where(F.col("dataset") == ds) for ds in ("dsA", "dsB")}, grid, features=STATIC, label="label", outer="outer", inner="inner",
-        outer_folds=2, inner_folds=2, keep=["row_id"],
+    return {ds: df.where(F.col("dataset") == ds) for ds in ("dsA", "dsB")}
+
+
+def inner_runs(spark, d, grid):
+    return models.tune(
+        nested_rows(spark, d), grid, features=STATIC, label="label", outer="outer", inner="inner", outer_folds=5, inner_folds=3, keep=["row_id"]
     )
-    summary = reporting.equal_weight_summary(cut_lineage(runs), "config_id", "dataset", ["pr_auc", "recall_tpr", "f1"])
+
+
+@query("L6")
+def l6(spark, d):
+    """The focused grid on two data sets, five outer and three inner folds; equal-weight ranking."""
+    runs = cut_lineage(inner_runs(spark, d, models.forest_grid("focused")))
+    summary = reporting.equal_weight_summary(runs, "config_id", "dataset", ["pr_auc", "recall_tpr", "f1"])
     order = [F.col("pr_auc_mean").desc(), F.col("pr_auc_min").desc(), F.col("recall_tpr_mean").desc(), F.col("f1_mean").desc(), F.col("pr_auc_std"), F.col("config_id")]
     return reporting.rank_rows(summary, order)
 
 
+@query("L6_nested")
+def l6_nested(spark, d):
+    """Metrics on the outer folds, each scored with the configuration that its own inner folds chose; two depths of a smaller forest."""
+    grid = models.one_factor_grid({**K.FOREST, "numTrees": 64}, {"maxDepth": [10]})
+    frames = nested_rows(spark, d)
+    runs = cut_lineage(models.tune(
+        frames, grid, features=STATIC, label="label", outer="outer", inner="inner", outer_folds=5, inner_folds=3, keep=["row_id"]
+    ))
+    chosen = {r["outer_fold"]: r["config_id"] for r in models.chosen_by_outer_fold(runs).collect()}  # a row per fold
+    oof = models.nested_out_of_fold(frames, grid, chosen, features=STATIC, label="label", outer="outer", keep=["row_id"])
+    return metrics.full_metrics(cut_lineage(oof), ["dataset", "outer", "config_id"], "label", "rf_probability", "predicted", empty=None)
+
+
 @query("L7")
 def l7(spark, d):
     df = flows(spark, d)
@@ -133,7 +152,7 @@ def l9(spark, d):
 def l10(spark, d):
     return jobs.arbiter_scores(
         flows(spark, d), split="split", source="source_file", src_ip="src_ip", dst_ip="dst_ip", ts="ts", row_id="row_id", label="label",
-        static=STATIC, rolling=FEATURES, params=SMALL_FOREST,
+        static=STATIC, rolling=FEATURES,
     ).select("row_id", "split", "source_file", "position", "label", "rf_probability")
 
 
@@ -152,7 +171,7 @@ def l11(spark, d):
 @query("L11_forest")
 def l11_forest(spark, d):
     df = cut_lineage(history(spark, d))
-    got = jobs.forest_transfer(df.where("dataset = 'dsA'"), df.where("dataset = 'dsB'"), FOREST_FEATURES, "label", SMALL_FOREST)
+    got = jobs.forest_transfer(df.where("dataset = 'dsA'"), df.where("dataset = 'dsB'"), FOREST_FEATURES, "label")
     return metrics.full_metrics(got, ["dataset"], "label", "rf_probability", "predicted")
 
 
@@ -187,11 +206,11 @@ def b8_reconstruction(spark, d):
 
 @query("B12")
 def b12(spark, d):
-    """Inner-fold metrics of each configuration with their stability."""
-    df = flows(spark, d).withColumn("inner", (F.floor(F.col("user_id") / 10) % 2 + 1).cast("int"))
-    parts = None
-    for g in models.one_factor_grid({**K.FOREST, "numTrees": 5, "maxDepth": 5}, {"numTrees": [10]}):
-        oof, _ = models.out_of_fold(df, features=STATIC, label="label", fold="inner", folds=2, keep=["row_id"], params=g["params"])
-        part = models.fold_metrics(oof, "inner", "label").withColumn("config_id", F.lit(g["config_id"]))
-        parts = part if parts is None else parts.unionByName(part)
-    return metrics.fold_stability(parts, ["f1", "recall_tpr", "pr_auc"], ["config_id"])
+    """Inner-fold metrics of the focused grid with their stability."""
+    df = flows(spark, d).withColumn("inner", (F.floor(F.col("user_id") / 10) % 3 + 1).cast("int"))
+    df = cut_lineage(df.select("row_id", "label", "inner", *STATIC))
+    oof, _ = models.out_of_fold_grid(
+        df, models.forest_grid("focused"), features=STATIC, label="label", fold="inner", folds=3, keep=["row_id"]
+    )
+    folds = metrics.full_metrics(cut_lineage(oof), ["config_id", "inner"], "label", "rf_probability", "predicted", empty=None)
+    return metrics.fold_stability(folds, ["f1", "recall_tpr", "pr_auc"], ["config_id"])
