@@ -175,13 +175,13 @@ def x4(spark, d):
 
 
 SQL_IP = "concat(CAST(o_custkey % 256 AS STRING), '.', CAST((o_custkey * 7) % 256 AS STRING), '.', CAST(o_orderkey % 300 AS STRING), '.', CAST((o_orderkey * 3) % 256 AS STRING))"
-_PRIVATE = (
+_V4_PRIVATE = (
     "a IN (0, 10, 127) OR a >= 240 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2) AND NOT (c = 0 AND e IN (9, 10))) "
     "OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)"
 )
 
 
-@query("X5", f"""SELECT DISTINCT ip FROM (SELECT {SQL_IP} AS ip, o_custkey % 256 AS a, (o_custkey * 7) % 256 AS b, o_orderkey % 300 AS c, (o_orderkey * 3) % 256 AS e FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0) WHERE c <= 255 AND NOT ({_PRIVATE})""")
+@query("X5", f"""SELECT DISTINCT ip FROM (SELECT {SQL_IP} AS ip, o_custkey % 256 AS a, (o_custkey * 7) % 256 AS b, o_orderkey % 300 AS c, (o_orderkey * 3) % 256 AS e FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0) WHERE c <= 255 AND NOT ({_V4_PRIVATE})""")
 def x5(spark, d):
     octets = [F.col("o_custkey") % 256, (F.col("o_custkey") * 7) % 256, F.col("o_orderkey") % 300, (F.col("o_orderkey") * 3) % 256]
     df = table(spark, d, "orders").select(
@@ -192,6 +192,41 @@ def x5(spark, d):
     return filters.public_addresses(df, "responh", "traffic_category", "Label")
 
 
+# Addresses in several spellings from two numbers of an order: groups g, h, i of 16 bits, one of five forms.
+_V6_FIRST = [0x2001, 0x2A00, 0xFE80, 0xFD00, 0x2002, 0x0064, 0x2606, 0x0100]
+_V6_GROUPS = {
+    "g": "element_at(array(" + ", ".join(map(str, _V6_FIRST)) + "), CAST(o_custkey % 8 AS INT) + 1)",
+    "h": "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 64 WHEN o_orderkey % 3 = 1 THEN 3512 ELSE o_custkey % 65536 END",
+    "i": "o_orderkey % 65536",
+}
+_SQL_V6 = {
+    0: "format('{:x}:{:x}:0:0:0:0:0:{:x}', g, h, i)", 1: "format('{:X}:{:04x}::{:x}', g, h, i)", 2: "format('::ffff:{}.{}.{}.9', h % 256, i % 256, g % 256)",
+    3: "format('{:x}::{:x}::{:x}', g, h, i)", 4: "format('{:x}:{:x}::{:x}%eth0', g, h, i)",
+}
+_V6_PRIVATE = (
+    "(g = 8193 AND h < 512 AND NOT (h = 3 OR h BETWEEN 32 AND 63 OR (h = 1 AND i IN (1, 2)))) OR (g = 8193 AND h = 3512) OR g = 8194 "
+    "OR g BETWEEN 64512 AND 65023 OR g BETWEEN 65152 AND 65215 OR (g = 256 AND h = 0)"
+)
+
+
+@query("X5_ipv6", f"""WITH n AS (SELECT o_orderkey % 5 AS form, list_extract([{', '.join(map(str, _V6_FIRST))}], CAST(o_custkey % 8 AS INT) + 1) AS g, {_V6_GROUPS['h']} AS h, {_V6_GROUPS['i']} AS i FROM orders),
+t AS (SELECT *, h % 256 AS a, i % 256 AS b, g % 256 AS c, 9 AS e, CASE form {' '.join(f'WHEN {k} THEN {v}' for k, v in _SQL_V6.items())} END AS ip FROM n)
+SELECT DISTINCT ip FROM t WHERE form <> 3 AND NOT (CASE WHEN form = 2 THEN {_V4_PRIVATE} ELSE {_V6_PRIVATE} END)""")
+def x5_ipv6(spark, d):
+    """Full, shortened, embedded, malformed and zoned spellings."""
+    g, h, i = (f"CAST({v} AS BIGINT)" for v in _V6_GROUPS.values())
+    texts = [
+        f"format_string('%x:%x:0:0:0:0:0:%x', {g}, {h}, {i})", f"format_string('%X:%04x::%x', {g}, {h}, {i})",
+        f"concat('::ffff:', {h} % 256, '.', {i} % 256, '.', {g} % 256, '.9')", f"format_string('%x::%x::%x', {g}, {h}, {i})",
+        f"format_string('%x:%x::%x%%eth0', {g}, {h}, {i})",
+    ]
+    df = table(spark, d, "orders").selectExpr(
+        "CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts)) + " END AS responh",
+        "'Benign' AS traffic_category", "'0' AS Label",
+    )
+    return filters.public_addresses(df, "responh", "traffic_category", "Label")
+
+
 @query("X6", "SELECT row_id FROM flows WHERE label = 0")
 def x6(spark, d):
     return filters.benign_only(flows(spark, d), "label").select("row_id")

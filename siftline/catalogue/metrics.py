@@ -215,7 +215,27 @@ def a16(spark, d):
     return got.select("comparison", "feature", "n_error", "n_reference", F.round("u", 1).alias("u"), "effect")
 
 
-@query("A16_p")
+# The p-value of z by the rational series below 2 and the continued fraction from there on, x = z / sqrt(2).
+_SQL_ERFC = (
+    "CASE WHEN x < 2 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 61), lambda n: x * exp(n * ln(greatest(2 * x * x, 1e-300)) "
+    "- list_sum(list_transform(range(0, n + 1), lambda m: ln(2.0 * m + 1)))))) "
+    "ELSE exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x, list_transform(range(120, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda a, k: x + k / 2 / a) END"
+)
+
+
+@query("A16_p", f"""{SQL_ITEM_LONG}, q AS (SELECT comparison, feature, e, count(*) AS n, quantile_cont(v, 0.25) AS q1, median(v) AS m, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY ALL),
+rk AS (SELECT comparison, feature, e, v, rank() OVER (PARTITION BY comparison, feature ORDER BY v) + (count(*) OVER (PARTITION BY comparison, feature, v) - 1) / 2 AS k FROM l),
+ties AS (SELECT comparison, feature, sum(t * t * t - t) AS tie_sum FROM (SELECT comparison, feature, CAST(count(*) AS DOUBLE) AS t FROM l GROUP BY comparison, feature, v) GROUP BY 1, 2),
+s AS (SELECT comparison, feature, CAST(count(*) FILTER (WHERE e = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE e = 0) AS DOUBLE) AS n0, sum(k) FILTER (WHERE e = 1) AS rs FROM rk GROUP BY 1, 2),
+u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n1 + n0 AS n FROM s JOIN ties USING (comparison, feature)),
+z AS (SELECT *, greatest(0, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * ((n + 1) - tie_sum / (n * (n - 1))))) / sqrt(2) AS x FROM u),
+p AS (SELECT *, 2 * u / (n1 * n0) - 1 AS effect, least(1.0, {_SQL_ERFC}) AS p_value FROM z),
+raw AS (SELECT *, row_number() OVER w AS i, p_value * count(p_value) OVER (PARTITION BY comparison) / row_number() OVER w AS raw FROM p WINDOW w AS (PARTITION BY comparison ORDER BY p_value, feature)),
+f AS (SELECT *, least(1.0, greatest(0.0, min(raw) OVER (PARTITION BY comparison ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS q_value FROM raw)
+SELECT a.comparison, a.feature, a.n AS error_n, b.n AS reference_n, {r('a.q1')} AS error_q1, {r('a.m')} AS error_median, {r('a.q3')} AS error_q3, {r('b.q1')} AS reference_q1, {r('b.m')} AS reference_median, {r('b.q3')} AS reference_q3,
+{r('a.m - b.m')} AS median_difference, {r('CASE WHEN b.q3 - b.q1 > 0 THEN (a.m - b.m) / (b.q3 - b.q1) END')} AS robust_shift, {r('f.u')} AS u, {r('f.effect')} AS effect, {r('f.p_value')} AS p_value, {r('f.q_value')} AS q_value,
+{r('abs(f.effect)')} AS abs_effect, f.q_value < 0.05 AS significant, CASE WHEN f.effect > 0 THEN 'ErrorHigher' WHEN f.effect < 0 THEN 'ErrorLower' ELSE 'NoDirectionalEffect' END AS direction
+FROM q a JOIN q b ON a.comparison = b.comparison AND a.feature = b.feature AND a.e = 1 AND b.e = 0 JOIN f ON f.comparison = a.comparison AND f.feature = a.feature""")
 def a16_p(spark, d):
     return forensic.feature_contrasts(item_ledger(spark, d), [], ITEM_FEATURES)
 

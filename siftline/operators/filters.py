@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.addresses import is_public_ipv4, is_public_ipv6
 from ..functions.numeric import number_from_text
 from .ordered import bounded_broadcast
 
@@ -57,44 +54,6 @@ def touches_endpoint(
     return rows.where(F.coalesce(F.col("__hit0"), F.col("__hit1"), F.lit(False))).drop("__hit0", "__hit1")
 
 
-# IPv4 blocks that are not publicly routed, and the two exceptions inside them.
-PRIVATE_BLOCKS = [
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
-    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
-]
-PRIVATE_EXCEPTIONS = ["192.0.0.9", "192.0.0.10"]
-
-
-def ipv4_number(ip: Column) -> Column:
-    """32-bit value of a dotted address, null for any other text."""
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    pattern = rf"^{octet}\.{octet}\.{octet}\.{octet}$"
-    parts = [F.regexp_extract(ip, pattern, i).try_cast("long") for i in (1, 2, 3, 4)]
-    return F.when(ip.rlike(pattern), parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3])
-
-
-@F.pandas_udf(T.BooleanType())
-def _public_ipv6(ips: pd.Series) -> pd.Series:
-    def check(text):
-        try:
-            address = ipaddress.IPv6Address(text)
-        except ValueError:
-            return False
-        return not address.is_private and not address.is_loopback
-
-    return ips.map(check)
-
-
-def is_public_ipv4(ip: Column) -> Column:
-    blocks = [ipaddress.ip_network(b) for b in PRIVATE_BLOCKS]
-    ranges = F.array(
-        *[F.struct(F.lit(int(b.network_address)).alias("low"), F.lit(int(b.broadcast_address)).alias("high")) for b in blocks]
-    )
-    outside = lambda n: ~F.exists(ranges, lambda b: n.between(b["low"], b["high"]))
-    number = ipv4_number(ip)
-    return F.coalesce(number.isNotNull() & (F.exists(F.array(number), outside) | ip.isin(*PRIVATE_EXCEPTIONS)), F.lit(False))
-
-
 def public_addresses(df: DataFrame, ip: str, category: str, label: str, ipv6: bool = True) -> DataFrame:
     """Distinct public addresses of benign reference rows."""
     benign = (F.trim(F.col(category)) == "Benign") & (number_from_text(F.col(label)) == 0)
@@ -102,7 +61,7 @@ def public_addresses(df: DataFrame, ip: str, category: str, label: str, ipv6: bo
     v4 = found.where(is_public_ipv4(F.col("ip")))
     if not ipv6:
         return v4
-    return v4.unionByName(found.where(F.col("ip").contains(":")).where(_public_ipv6("ip")))
+    return v4.unionByName(found.where(F.col("ip").contains(":")).where(is_public_ipv6(F.col("ip"))))
 
 
 def benign_only(df: DataFrame, label: str) -> DataFrame:

@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.decision import error_type
-from ..functions.numeric import divide, finite
+from ..functions.numeric import divide, erfc, finite
 from .columns import q
 from .ordered import Ordered, exact_quantiles, unpivot
 
@@ -92,11 +90,6 @@ def overlap_histogram(overlap: DataFrame, keys: Sequence[str], label: str, model
 COMPARISONS = [("FP", "TN"), ("FN", "TP")]
 
 
-@F.pandas_udf(T.DoubleType())
-def _two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: float("nan") if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2.0))))
-
-
 def _contrast_rows(led: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     kind = F.col("error_type")
     comparison = F.when(kind.isin("FP", "TN"), "FP_vs_TN").when(kind.isin("FN", "TP"), "FN_vs_TP")
@@ -132,7 +125,7 @@ def rank_p_values(stats: DataFrame) -> DataFrame:
     spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.when(n > 1, F.col("tie_sum") / (n * (n - 1))).otherwise(0.0)))
     top = F.greatest(F.col("u"), n1 * n0 - F.col("u"))
     z = F.when((n1 > 0) & (n0 > 0) & (spread > 0), (top - n1 * n0 / 2 - 0.5) / spread)
-    return stats.withColumn("p_value", F.nanvl(_two_sided_p(z), F.lit(None).cast("double")))
+    return stats.withColumn("p_value", F.when(z.isNotNull(), F.least(F.lit(1.0), erfc(F.greatest(z, F.lit(0.0)) / math.sqrt(2.0)))))
 
 
 def false_discovery(df: DataFrame, keys: Sequence[str], p_value: str, item: str, out: str = "q_value") -> DataFrame:

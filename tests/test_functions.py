@@ -1,6 +1,7 @@
 """Scalar functions on edge values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,36 @@ def test_no_gap_context_follows_each_summary(spark):
     df = spark.createDataFrame([([1_000_000],), ([3_000_000, 1_000_000, 9_000_000],)], "t array<long>")
     got = df.select(arrays.gaps(F.array_sort("t")).alias("g")).collect()
     assert got[0]["g"] == [] and got[1]["g"] == [2.0, 6.0]
+
+
+def test_erfc(spark):
+    from siftline.functions.numeric import erfc
+
+    xs = [0.0, 1e-9, 0.1, 0.5, 1.0, 1.9999, 2.0, 2.0001, 2.5, 3.0, 5.0, 8.0, 20.0, 26.0, 30.0]
+    out = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    for r in out:
+        assert abs(r["y"] - math.erfc(r["x"])) < 1e-12 and (r["x"] > 26 or abs(r["y"] / math.erfc(r["x"]) - 1) < 1e-11)
+
+
+def test_ipv6_equals_the_library(spark):
+    from siftline.functions.addresses import ipv6_digits, is_public_ipv6
+
+    rng = random.Random(9)
+    pieces = ["", ":", "::", "0", "1", "fe80", "2001", "DB8", "3", "00ff", "ffff", "12345", "g", "1.2.3.4", "10.0.0.1", "256.1.1.1", "01.2.3.4", "%", "%eth0", "/64", " ", "\n"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([":", ":", "::", ""]) for _ in range(rng.randrange(1, 10))) for _ in range(3000)]
+    for _ in range(1500):
+        groups = [f"{rng.choice([0, 0, 1, 0x2001, 0x64, 0xFF9B, 0x100, 0xFC00, 0xFE80, rng.randrange(65536)]):x}" for _ in range(8)]
+        cut = rng.randrange(9)
+        texts += [":".join(groups), ":".join(groups[:cut]) + "::" + ":".join(groups[min(8, cut + rng.randrange(4)):])]
+    import ipaddress
+
+    blocks = ["::1", "::", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "::ffff:192.0.0.9", "64:ff9b:1::5", "100::5", "2001:1::1", "2001:1::3", "2001:3::9", "2001:20::", "2001:4:112::1", "2001:db8::1"]
+    texts = sorted({*texts, *blocks, "", ":", ":::", "1::2%", "1::2%a%b", "1::2%a/3", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4"})
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+    for r in df.select("ip", ipv6_digits(F.col("ip")).alias("d"), is_public_ipv6(F.col("ip")).alias("p")).collect():
+        try:
+            address = ipaddress.IPv6Address(r["ip"])
+        except ValueError:
+            assert r["d"] is None and not r["p"], r
+            continue
+        assert r["d"] == f"{int(address):032x}" and r["p"] == (not address.is_private and not address.is_loopback), r
