@@ -9,7 +9,9 @@ from ..functions.numeric import safe_ratio
 from ..operators import alignment, filters, forensic, quality, reporting, rules, sequence, splits, temporal
 from ..operators import metrics as met
 from ..operators.ordered import Ordered
-from .base import FEATURES, SCORES, T1, T2, T3, flows, items, query, r, sql_draw, sql_confusion, sql_error_type, sql_metrics, sql_ratio
+from ..session import scratch_path
+from ..streaming.history import run_history
+from .base import FEATURES, FLOW_COLUMNS, SCORES, T1, T2, T3, flows, items, query, r, sql_draw, sql_confusion, sql_error_type, sql_metrics, sql_ratio
 
 ENDPOINT = "PARTITION BY source_file, src_ip, dst_ip ORDER BY ts, row_id"
 
@@ -59,9 +61,26 @@ def w1(spark, d):
     return history(spark, d, (3, 5, 10)).select("row_id", *history_columns((3, 5, 10)))
 
 
+# Of a stream: flows whose time the watermark, ten minutes behind the newest, has passed.
+_SQL_PASSED = "epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM flows) * 1000"
+
+
+@query("W1_stream", f"{sql_history()} SELECT row_id, {sql_history_columns()} FROM h WHERE {_SQL_PASSED}")
+def w1_stream(spark, d):
+    """The events read as a stream: keyed state holds the last flows of an endpoint."""
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").selectExpr(*[f"{e} AS {n}" for n, e in FLOW_COLUMNS.items()])
+    out = scratch_path(spark, "stream")
+    run_history(
+        spark, stream, f"{out}/rows", f"{out}/progress", source="source_file", src_ip="src_ip", dst_ip="dst_ip", ts="ts", row_id="row_id",
+        features=FEATURES, delay="10 minutes",
+    )
+    return spark.read.parquet(f"{out}/rows").select("row_id", *history_columns())
+
+
 @query("W1_sliced", f"{sql_history((5,))} SELECT row_id, {sql_history_columns((5,))} FROM h")
 def w1_sliced(spark, d):
-    """The same history with one window; large endpoints are cut into slices of the default size."""
+    """The same history with one window."""
     return history(spark, d).select("row_id", *history_columns())
 
 

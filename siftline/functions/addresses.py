@@ -63,7 +63,7 @@ def ipv6_digits(ip: Column) -> Column:
     last two groups and a zone behind ``%``.  Texts of this form compare as the
     addresses do, so blocks are ranges of them.
     """
-    zoned = F.when(ip.rlike(r"\A[^%/]*(%[^%/]+)?\z"), F.regexp_replace(ip, r"%.*\z", ""))
+    zoned = F.when(ip.rlike(r"\A[^%/]*(%[^%/]+)?\z"), F.regexp_replace(ip, r"(?s)%.*\z", ""))
     tail = _number_of(zoned, rf":{_DOTTED}\z")
     pair = F.lower(F.format_string("%x:%x", F.shiftright(tail, 16), tail.bitwiseAND(0xFFFF)))
     plain = F.when(tail.isNotNull(), F.regexp_replace(zoned, r"(?<=:)[0-9.]+\z", pair)).otherwise(zoned)
