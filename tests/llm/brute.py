@@ -182,3 +182,158 @@ def spellings(rows):
         return root(form[w]) if form[w] else w
 
     return sorted((w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items())
+
+
+ASIDE = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adbox advert adverts"
+    " advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert"
+    " popup modal overlay newsletter subscribe subscription signup social share sharing comment comments commentlist reply replies"
+    " respond discussion disqus form login search related recommended recommendations pagination pager toolbar tags copyright".split()
+)
+READERS = set("comment comments commentlist reply replies respond discussion disqus".split())
+
+
+class _Tree:
+    """A well-formed page as nested elements: tag, classes, children; texts are (text, linked characters)."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        root = {"tag": "page", "class": [], "kids": [], "up": None}
+        state = {"at": root, "link": 0}
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag == "a":
+                    state["link"] = 1
+                    return
+                made = {"tag": tag, "class": (dict(attrs).get("class") or "").split(), "kids": [], "up": state["at"]}
+                state["at"]["kids"].append(made)
+                state["at"] = made
+
+            def handle_endtag(self, tag):
+                if tag == "a":
+                    state["link"] = 0
+                else:
+                    state["at"] = state["at"]["up"]
+
+            def handle_data(self, data):
+                state["at"].setdefault("text", []).append((data, state["link"]))
+
+        Reader().feed(page)
+        self.body = root["kids"][0]
+        self.blocks = []
+        self._collect(self.body)
+
+    def _collect(self, e):
+        if "text" in e:
+            text, linked = "".join(t for t, _ in e["text"]).strip(), sum(len(t) for t, link in e["text"] if link)
+            self.blocks.append((e, text, linked, max(0, len(text) - 2 * linked)))
+        for kid in e["kids"]:
+            self._collect(kid)
+
+    def around(self, e):
+        out = []
+        while e["up"] is not None:
+            out.append(e)
+            e = e["up"]
+        return out[::-1]  # body first
+
+    def grade(self, e):
+        """0: part of the page, 1: perhaps not, 2: probably not, 3: surely not."""
+        inside = any(x["tag"] in ("article", "main") for x in self.around(e)[:-1])
+        if e["tag"] in ("nav", "footer") or e["tag"] == "header" and not inside:
+            return 3
+        names = [re.findall("[a-z]+", c) for c in e["class"]]
+        names = [n for n in names if n and n[0] != "has"]
+        ends = {w for n in names for w in (n[0], n[-1])}
+        least = 1 if e["tag"] == "form" else 0
+        if e["tag"] in ("article", "main"):
+            return 3 if ends & {"comments", "ad"} else 0
+        if ends & READERS:
+            return 3
+        if ends & ASIDE and not any(w in ("post", "content") for n in names for w in n):
+            return max(least, 2 if any(len(n) == 1 and n[0] in ASIDE for n in names) else 1)
+        return least
+
+    def kept(self):
+        sure = lambda e: any(self.grade(x) == 3 for x in self.around(e))
+        total = sum(w for e, _, _, w in self.blocks if not sure(e))
+        graded = {}
+
+        def out(e):
+            if id(e) not in graded:
+                g = self.grade(e)
+                own = sum(w for b, _, _, w in self.blocks if any(x is e for x in self.around(b)) and not sure(b))
+                holds = g < 2 or self.heads(e)
+                graded[id(e)] = g == 3 or g in (1, 2) and not (2 * own > total and own >= 200 and holds)
+            return graded[id(e)]
+
+        return [b for b in self.blocks if not any(out(x) for x in self.around(b[0]))]
+
+    def heads(self, e):
+        """An article, main or first heading that is not surely or perhaps aside itself, reached through no lesser mark."""
+        for kid in e["kids"]:
+            g = self.grade(kid)
+            if g == 0 and (kid["tag"] in ("article", "main", "h1") or self.heads(kid)):
+                return True
+            if g in (1, 2) and g == 2 and self.heads(kid):
+                return True
+        return False
+
+    def path(self, e):
+        steps = [x for x in self.around(e) if x["tag"] not in ("p", "h1")]
+        label = lambda x: ".".join([x["tag"], *sorted({re.sub(r"[0-9_-]*[0-9][0-9_-]*", "", c) for c in x["class"]} - {""})])
+        return "/".join(map(label, steps))
+
+
+def _html_scores(tree):
+    scores = Counter()
+    for e, _, _, w in tree.kept():
+        path, share = tree.path(e), float(w)
+        while path:
+            scores[path] += share
+            path, share = path.rpartition("/")[0], share * 0.6
+    return scores
+
+
+def html_best(page):
+    """Path of the best container."""
+    scores = _html_scores(_Tree(page))
+    if not scores:
+        return None
+    top = max(scores.values())
+    path = max((p for p in scores if abs(scores[p] - top) < 1e-9 * max(1, top)), key=lambda p: (len(p), p))
+    steps = path.split("/")
+    for i, step in enumerate(steps):
+        if step.split(".")[0] in ("article", "main"):
+            return "/".join(steps[: i + 1])
+    return path
+
+
+def html_text(page, winning):
+    """The text of the article."""
+    tree, path = _Tree(page), html_best(page)
+    if path is None:
+        return ""
+    scores = _html_scores(tree)
+    for name in winning:
+        if scores.get(name, 0) > 0 and scores[name] >= 0.25 * scores[path]:
+            path = name
+            break
+    blocks = [(tree.path(e), text, linked, e["tag"] == "h1") for e, text, linked, _ in tree.kept()]
+    under = lambda p, outer: p == outer or p.startswith(outer + "/")
+    chosen = {i for i, b in enumerate(blocks) if under(b[0], path)}
+    met, alone = set(chosen), any(s.split(".")[0] in ("article", "main") for s in path.split("/"))
+    outer = path.rpartition("/")[0]
+    while outer:
+        new = [i for i, b in enumerate(blocks) if under(b[0], outer) and i not in met]
+        met.update(new)
+        new = [i for i in new if blocks[i][3] or blocks[i][2] < len(blocks[i][1])]
+        if alone or "/" not in outer:
+            new = [i for i in new if blocks[i][0] == outer]
+        if sum(len(blocks[i][1]) - (0 if blocks[i][3] else 2 * blocks[i][2]) for i in new) < 0:
+            break
+        chosen.update(new)
+        outer = outer.rpartition("/")[0]
+    return "\n".join(blocks[i][1] for i in sorted(chosen))

@@ -278,11 +278,66 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
-def test_consensus_overrules_a_single_page(spark):
+def test_consensus_overrules_a_page_where_its_path_has_enough(spark):
     short = '<body><div class="main"><p>%s</p></div><div class="box"><p>%s</p></div></body>'
-    pages = [(i, "http://h/", short % ("article text " * 30, "box")) for i in range(6)] + [(6, "http://h/", short % ("brief", "box text " * 50))]
+    pages = [(i, "http://h/", short % ("article text " * 30, "box")) for i in range(6)]
+    pages += [(6, "http://h/", short % ("brief text " * 20, "box text " * 50)), (7, "http://h/", short % ("tiny", "box text " * 50))]
     out = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert out[6] == "brief"
+    assert out[6] == ("brief text " * 20).strip() and out[7] == ("box text " * 50).strip()
+
+
+LONG = "<p>" + "A long article of many words. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="container has-sidebar"><main>%s</main></div>', "%s"),
+    ('<div class="layout sidebar-right"><div class="a">%s</div><div class="sidebar">Side</div></div>', "%s"),
+    ('<form id="aspnetForm"><div><article>%s</article></div></form>', "%s"),
+    ('<form id="aspnetForm"><div>%s</div></form><div class="site-footer">Firm</div>', "%s"),
+    ('<div class="page no-login">%s</div>', "%s"),
+    ('<h1>Title</h1><p>Lead</p><div class="x">%s</div>', "Title\nLead\n%s"),
+    ('<div class="post"><h1>Title</h1><article>%s</article></div>', "Title\n%s"),
+    ('<div class="x">%s</div><div class="comments"><p>' + "nice post " * 200 + "</div>", "%s"),
+    ('<div class="x"><p>Short.</div><div class="cookie-notice">' + "we use cookies " * 5 + "</div><form>mail us</form>", "Short."),
+    ('<article>%s</article><div class="related-posts"><article>Another one</article></div>', "%s"),
+])
+def test_articles_in_ordinary_layouts(page, text):
+    body = ("A long article of many words. " * 20).strip()
+    full = "<html><body>" + page.replace("%s", LONG) + "</body></html>"
+    assert html.main_text(html.read_page(full), []) == text.replace("%s", body)
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "deep text", "<div><p>t" * 50_000, "<div class=a>" * 50_000 + "</p>" * 50_000 + "x"):
+        tracemalloc.start()
+        assert html.main_text(html.read_page(page), [])
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+        tracemalloc.stop()
+
+
+def test_random_pages_equal_a_plain_version():
+    rng = random.Random(12)
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([1, 3, 30])))
+            return rng.choice(["<p>%s</p>", "<h1>%s</h1>", '<p><a href="x">%s</a></p>', "<p>one <a href=y>%s</a> two</p>"]) % words
+        tag = rng.choice(["div", "div", "div", "section", "article", "main", "form", "nav", "footer", "header"])
+        name = rng.choice(["", "a", "b2", "sidebar", "sidebar-left", "has-sidebar", "comments", "post-content", "site-header", "x ad", "col-3 share"])
+        inner = "".join(element(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
+
+    pages = ["<body>" + "".join(element(4) for _ in range(rng.randrange(1, 4))) + "</body>" for _ in range(1500)]
+    names = [brute.html_best(p) for p in pages]
+    for page, name in zip(pages, names):
+        own = html.read_page(page)
+        best = html.best_path(own, own.scores())
+        assert (None if best is None else own.name(best)) == name
+        for winning in ([], [rng.choice(names) or "body"]):
+            assert html.main_text(own, winning) == brute.html_text(page, winning)
+    assert sum(n is not None and n.count("/") > 1 for n in names) > 100
 
 
 def test_title_lead_and_closing_beside_the_body_container(spark):
