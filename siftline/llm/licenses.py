@@ -4,8 +4,10 @@ The words of a document are cut into rolling k-grams, whose hashes are joined
 to the positions they have in the license templates.  Where a document follows
 a template, position in the document minus position in the template stays the
 same, so hits are counted by that offset, the diagonal; words put in or left out
-move it a little, so neighbouring diagonals are merged.  The words of each span
-found are then compared with the template's.
+move it a little, so neighbouring diagonals are merged.  A span counts if enough
+of the template's words are covered in their order, if it holds the words that
+make the license what it is and none of another, and if no better template
+covers the same place.
 
 The templates are a fixed, short list, so their k-grams (a few hundred rows,
 whatever the input) are broadcast and the k-grams of documents never move.
@@ -31,26 +33,30 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-# Opening passages and notices of public licenses.
+# Opening passages and notices of public licenses, the words a span must hold together, and those it must not hold.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
      " files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy,"
      " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software"
-     " is furnished to do so"),
+     " is furnished to do so", "permission is hereby granted free of charge", ""),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with"
-     " the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+     " the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache license version 2", ""),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache license version 2", ""),
+    ("mit", "Released under the MIT License", "mit license", ""),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu general public license version 3", ""),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", "gnu general public license version 2", ""),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
-     " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+     " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+     "gnu general public license", ""),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
      " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
-     " following disclaimer"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+     " following disclaimer", "source and binary forms", ""),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc", ""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution",
+     "noncommercial sharealike noderivatives noderivs"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+     "attribution noncommercial", "sharealike noderivatives noderivs"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license v 2", ""),
 )
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,13 +75,16 @@ def _grams(words: Column) -> Column:
 
 
 def _templates(spark: SparkSession, phrases, templates) -> DataFrame:
-    """template, label, base, words: one row each, as literals."""
+    """template, label, base, words and what a span must and must not hold: one row each, as literals."""
     rows = [
-        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(phrases)).alias("base"), F.lit(text).alias("text"))
-        for i, (label, text) in enumerate((*phrases, *templates))
+        F.struct(
+            F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(phrases)).alias("base"), F.lit(text).alias("text"),
+            F.lit(needs).alias("needs"), F.split(F.lit(without), " ").alias("without"),
+        )
+        for i, (label, text, needs, without) in enumerate((*((*p, "", "") for p in phrases), *templates))
     ]
     listed = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
-    return listed.select("template", "label", "base", words("text").alias("t_words"))
+    return listed.select("template", "label", "base", "needs", "without", words("text").alias("t_words"))
 
 
 def _hits(texts: DataFrame, grams: DataFrame) -> DataFrame:
@@ -102,10 +111,25 @@ def _occurrences(hits: DataFrame) -> DataFrame:
             F.flatten(F.collect_set("t_places")).alias("t_places"), F.min("first").alias("first"), F.max("last").alias("last"),
             F.max(F.size("t_places")).alias("best"), F.max_by("diagonal", F.size("t_places")).alias("diagonal"),
         )
-        .withColumn("votes", F.size(F.array_distinct("t_places")))
+        .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("t_places", lambda p: F.sequence(p, p + GRAM - 1))))))
     )
 
 
+def _best_of_overlapping(spans: DataFrame) -> DataFrame:
+    """Without each span that overlaps a better one: of a higher score, then longer, then of an earlier template.
+
+    Spans are compared within runs that hang together by overlaps, so a text full of notices has many short runs.
+    """
+    by = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "template")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("run", F.sum(F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).over(by))
+    fields = ("score", "length", "earlier", "start", "end", "label")
+    one = F.struct("score", (F.col("end") - F.col("start")).alias("length"), (-F.col("template")).alias("earlier"), "start", "end", "label")
+    grouped = runs.groupBy("doc_id", "text_key", "run").agg(F.collect_list(one).alias("all"))
+    kept = F.filter("all", lambda a: ~F.exists("all", lambda b: (b > a) & (b["start"] < a["end"]) & (a["start"] < b["end"])))
+    return grouped.select("doc_id", "text_key", F.explode(kept).alias("s")).select("doc_id", "text_key", *(f"s.{n}" for n in fields))
+
+
 def license_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, least_score: float = LEAST_SCORE
 ) -> DataFrame:
@@ -126,27 +150,28 @@ def license_spans(
     )
     drifting = _occurrences(hits.join(sizes.where("not base").select("template"), "template")).join(
         sizes.select("template", "t_size"), "template"
-    ).where((F.col("votes") + (GRAM - 1)) >= least_score * F.col("t_size")).select(
-        "doc_id", "text_key", "template", F.col("first").alias("start"), (F.col("last") + GRAM).alias("end")
+    ).where(F.col("covered") >= least_score * F.col("t_size")).select(
+        "doc_id", "text_key", "template", F.col("first").alias("start"), (F.col("last") + GRAM).alias("end"), "covered"
     )
-    spans = phrase.union(drifting)
-    per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans"))
+    spans = phrase.withColumn("covered", F.col("end") - F.col("start")).union(drifting)
+    per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "start", "end", "covered")).alias("spans"))
     # The texts are shuffled at any size: found documents grow with the corpus, so they are never broadcast.
     again = texts.join(per_text.hint("merge"), (texts["doc_id"].eqNullSafe(per_text["doc_id"])) & (texts["text_key"] == per_text["text_key"])).select(
         texts["doc_id"], texts["text_key"], words("text").alias("words"), "spans"
     ).dropDuplicates(["doc_id", "text_key"])
     own = F.transform("spans", lambda x: F.struct(
-        x["template"].alias("template"), x["start"].alias("start"), x["end"].alias("end"),
+        x["template"].alias("template"), x["start"].alias("start"), x["end"].alias("end"), x["covered"].alias("covered"),
         F.slice("words", x["start"] + 1, x["end"] - x["start"]).alias("own"),
     ))
     shown = again.select("doc_id", "text_key", F.explode(own).alias("span")).select("doc_id", "text_key", "span.*").join(sizes, "template")
-    score = F.size(F.array_intersect("own", "t_words")) / F.greatest(
-        F.size(F.array_distinct("t_words")), F.size(F.array_distinct("own"))
-    )
-    verified = (F.col("base") & (F.col("own") == F.col("t_words"))) | (~F.col("base") & (score >= least_score))
-    return shown.where(verified).select(
-        "doc_id", "text_key", "label", "base", "start", "end", F.when(F.col("base"), F.lit(1.0)).otherwise(score).alias("score")
-    )
+    score = F.col("covered") / F.greatest(F.col("t_size"), F.col("end") - F.col("start"))
+    together = lambda words: F.concat(F.lit(" "), words, F.lit(" "))
+    named = together(F.array_join("own", " ")).contains(together(F.col("needs"))) & ~F.arrays_overlap("own", "without")
+    checked = shown.where(F.when(F.col("base"), F.col("own") == F.col("t_words")).otherwise((score >= least_score) & named))
+    keys = ("doc_id", "text_key", "label", "base", "start", "end", "score")
+    checked = stored(checked.withColumn("score", F.when(F.col("base"), F.lit(1.0)).otherwise(score)).select(*keys, "template"), "license-spans")
+    best = _best_of_overlapping(checked.where("not base")).withColumn("base", F.lit(False))
+    return checked.where("base").select(*keys).unionByName(best.select(*keys))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

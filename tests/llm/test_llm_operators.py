@@ -77,6 +77,35 @@ def test_license_scan(spark):
     assert out[len(texts) - 3]["labels"] == "mit" and out[len(texts) - 3]["base_labels"] == ""
 
 
+def test_every_template_names_its_license_alone(spark):
+    texts = [f"Before it, {t} and more after." for _, t, *_ in licenses.TEMPLATES]
+    texts.append(" Then. ".join(t for _, t, *_ in licenses.TEMPLATES))
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    for i, (label, *_) in enumerate(licenses.TEMPLATES):
+        assert out[i]["labels"] == label and out[i]["score"] == 1.0, (label, out[i])
+    assert out[len(texts) - 1]["labels"] == ",".join(sorted({t[0] for t in licenses.TEMPLATES}))
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("The album was released under the Sony label in 1999.", ""),
+    ("He studied under the MIT professor and was released under the MIT program", ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ""),
+    ("This work is licensed under the GNU General Public License, version 2", "gpl-2"),
+    ("This work is licensed under the GNU General Public License, version 4", ""),
+    ("Licensed under the Apache License, Version 1.1", ""),
+    ("Licensed under CC BY 4.0", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", ""),
+    ("Redistribution and use in source code are permitted provided that the following conditions are met", ""),
+    ("This program is free software: you can redistribute it and modify it under the terms of our house rules", ""),
+    ("Permission is granted, free of charge, to any person obtaining a copy of this book", ""),
+    ("sell copies of the Software and to permit persons to whom the Software is furnished to do so publish distribute sublicense and or", ""),
+])
+def test_license_named_only_where_it_stands(spark, text, labels):
+    row = licenses.scan_licenses(frame(spark, [text], 1)).first()
+    assert row["labels"] == labels, row
+
+
 # -- 2 ------------------------------------------------------------------------------
 
 
