@@ -329,12 +329,15 @@ def _kept(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[list[tuple[i
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes).
 
-    A null or empty text has no bytes.  Rows that repeat an id and text repeat
-    all its windows; an id must not stand in rows with different texts.  Other
-    columns are not looked at, and an empty table gives no rows.
+    A null or empty text has no bytes.  Every row is a document of its own: rows
+    that repeat an id and text repeat all its windows, and rows without an id or
+    with an id of other rows are cleaned like all others.  Other columns are not
+    looked at, and an empty table gives no rows.
     """
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    spans = repeated_spans(texts).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(texts.select(F.col("key").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("key")).agg(
+        F.collect_set(F.struct("begin", "end")).alias("spans")
+    )
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -350,7 +353,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
 
-    return texts.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInPandas(
+    return texts.join(spans.hint("merge"), "key", "left").select("doc_id", "text", "spans").mapInPandas(
         apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
