@@ -10,8 +10,11 @@
 4. In each block an inverted index is searched: the short lists of a query are
    heap-merged, the long ones probed by binary search, and sets that reach the
    required overlap are linked.  Sets already connected are not compared again.
-5. Components of the links give the result.  No pair is dropped: whatever a
-   block could not compare, a second round compares block by block.
+5. Components of the links give the result.  No pair is dropped: in a large
+   cluster, what its main component has not met is compared in a second round.
+   Linked sets also share one of their rarest hashes, so sets that have only the
+   words of a template in common do not meet there.  A group of sets behind such
+   a hash is compared by pairs of blocks if it is larger than a block.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.graph import components
@@ -172,19 +175,25 @@ class Index:
                     yield doc
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, queries: np.ndarray, overlap: Overlap) -> list[tuple[int, int]]:
-    """Links that connect the sets of a block as all its links with a query would; ``groups`` names what is connected already."""
+def block_links(
+    ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, queries: np.ndarray, overlap: Overlap, sides: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links that connect the sets of a block as all its links with a query would; ``groups`` names what is connected already.
+
+    With ``sides`` only sets of different sides are compared.
+    """
     index = Index(sets)
     _, label = np.unique(groups, return_inverse=True)
     out = []
     for q in np.flatnonzero(queries).tolist():
-        wanted = label != label[q]
+        across = np.ones(len(sets), bool) if sides is None else sides != sides[q]
+        wanted = across & (label != label[q])
         if not wanted.any():
             continue
         for doc in index.search(sets[q], overlap, wanted):
             out.append((int(ids[q]), int(ids[doc])))
             label[label == label[doc]] = label[q]
-            np.not_equal(label, label[q], out=wanted)
+            np.logical_and(across, label != label[q], out=wanted)
     return out
 
 
@@ -192,26 +201,95 @@ def _searched(overlap: Overlap):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         # Of a set that is in its block both by itself and as a guest, the row that asks is the one to keep.
-        rows = rows.sort_values(["cluster", "class_id", "query"], ascending=[True, True, False]).drop_duplicates(["cluster", "class_id"])
+        rows = rows.sort_values(["cluster", "class_id", "query"], ascending=[True, True, False]).drop_duplicates(["cluster", "class_id", "hashes"])
         for _, own in rows.groupby("cluster", sort=False):
             sets = [np.frombuffer(x, np.uint64) for x in own["hashes"]]
-            out += block_links(own["class_id"].to_numpy(), sets, own["known"].to_numpy(), own["query"].to_numpy(bool), overlap)
+            sides = own["side"].to_numpy() if own["side"].nunique() > 1 else None
+            out += block_links(own["class_id"].to_numpy(), sets, own["known"].to_numpy(), own["query"].to_numpy(bool), overlap, sides)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return search
 
 
 def _search(rows: DataFrame, overlap: Overlap) -> DataFrame:
-    """Links found in each unit of rows (unit, cluster, class_id, hashes, known, query)."""
+    """Links found in each unit of rows (unit, cluster, class_id, hashes, known, query, side)."""
     return rows.groupBy("unit").applyInPandas(_searched(overlap), "a long, b long")
 
 
+def _rarest(overlap: Overlap):
+    """The hashes of each set of a block of which linked sets share one, those that few guests hold first.
+
+    All blocks of a cluster have the same guests, so one order serves them all.
+    """
+
+    def rarest(rows: pd.DataFrame) -> pd.DataFrame:
+        guests = [np.frombuffer(x, np.uint64) for x in rows.loc[rows["guest"], "hashes"]]
+        held, times = np.unique(np.concatenate([np.zeros(1, np.uint64), *guests]), return_counts=True)
+        own = rows.loc[~rows["guest"]]
+        tokens = []
+        for data in own["hashes"]:
+            hashes = np.frombuffer(data, np.uint64)
+            at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+            seen = np.where(held[at] == hashes, times[at], 0)
+            tokens.append(hashes[np.lexsort((hashes, seen))[: len(hashes) - int(overlap.least_size(len(hashes))) + 1]])
+        count = [len(x) for x in tokens]
+        columns = {c: np.repeat(own[c].to_numpy(), count) for c in ("cluster", "class_id", "known", "asks", "n")}
+        return pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64), **columns})
+
+    return rarest
+
+
+def _blocks(total: str, sets: str) -> Column:
+    return F.ceil(F.greatest(F.col(total) / TASK_HASHES, F.col(sets) / BLOCK_SETS)).cast("int")
+
+
+def _rare_groups(apart: DataFrame, overlap: Overlap) -> DataFrame:
+    """Groups (meeting, class_id) of sets with a rare hash in common, of different components and at least one of them asking.
+
+    A group is all that hold some hash.  Hashes with the same holders, such as
+    those of a passage, are one group, so a set goes into few of them however
+    long it is.
+    """
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    columns = ("cluster", "class_id", "hashes", "known", "asks", "n")
+    guests = apart.where(F.pmod(F.xxhash64("class_id", F.lit(2)), 4 * F.col("blocks")) == 0)
+    rows = apart.select(*columns, block.alias("block"), F.lit(False).alias("guest")).union(
+        guests.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(True))
+    )
+    rare = stored(
+        rows.groupBy("cluster", "block").applyInPandas(_rarest(overlap), "token long, cluster long, class_id long, known long, asks boolean, n long"),
+        "rare",
+    )
+    lists = (
+        rare.groupBy("cluster", "token")
+        .agg(F.min("known").alias("low"), F.max("known").alias("high"), F.max("asks").alias("asks"), F.count("*").alias("times"),
+             F.bit_xor(F.xxhash64("class_id")).alias("held"))
+        .where("asks and low != high")
+        # Two lists that met here by chance would only be one larger group.
+        .select("cluster", "token", F.xxhash64("cluster", "held", "times").alias("meeting"))
+    )
+    return rare.join(lists, ["cluster", "token"]).select("meeting", "class_id", "n").distinct()
+
+
+def _met_again(apart: DataFrame, overlap: Overlap) -> DataFrame:
+    """Links of the sets that ask with sets of other components; each task has two blocks of a group at most."""
+    groups = stored(_rare_groups(apart, overlap), "groups")
+    sizes = stored(groups.groupBy("meeting").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).withColumn("blocks", _blocks("total", "sets")), "meetings")
+    units = max(1, (sizes.agg(F.sum("total")).first()[0] or 0) // TASK_HASHES)
+    members = groups.select("meeting", "class_id").join(sizes, "meeting").join(apart.select("class_id", "hashes", "known", "asks"), "class_id")
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    columns = (F.col("meeting").alias("cluster"), "class_id", "hashes", "known", F.col("asks").alias("query"))
+    small = members.where("blocks = 1").select(F.pmod(F.xxhash64("meeting"), F.lit(units)).alias("unit"), *columns, F.lit(0).alias("side"))
+    # A block meets itself in a unit of its own, and every other block in a unit with that one.
+    large = members.where("blocks > 1").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.xxhash64("meeting", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), *columns, "side")
+    return _search(small.union(large), overlap)
+
+
 def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
     """Links between the sets of each cluster, enough to connect all that are linked."""
     members = stored(sets.join(clusters, "class_id"), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).withColumn(
-        "blocks", F.ceil(F.greatest(F.col("total") / TASK_HASHES, F.col("sets") / BLOCK_SETS)).cast("int")
-    )
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).withColumn("blocks", _blocks("total", "sets"))
     sizes = stored(sizes, "sizes")
     total = sizes.agg(F.sum("total")).first()[0] or 0
     units = max(1, total // TASK_HASHES)
@@ -220,7 +298,7 @@ def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
     unit_of = lambda block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(
         F.xxhash64("cluster", block)
     )
-    columns = ("cluster", "class_id", "hashes", F.col("class_id").alias("known"), F.lit(True).alias("query"))
+    columns = ("cluster", "class_id", "hashes", F.col("class_id").alias("known"), F.lit(True).alias("query"), F.lit(0).alias("side"))
     own = members.select(unit_of(block.cast("long")).alias("unit"), *columns)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     pivots = members.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("class_id", F.lit(1)), F.ceil(F.col("sets") / PIVOTS)) == 0))
@@ -229,22 +307,18 @@ def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
     large = sizes.where("blocks > 1")
     if large.isEmpty():
         return links
-    # In a large cluster, what its largest component has not met yet is compared with every block.
+    # In a large cluster, what its largest component has not met yet asks again; clusters in one piece are done.
     apart = members.where("blocks > 1").join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
         "known", F.coalesce("component", "class_id")
-    ).drop("component")
-    apart = stored(apart, "apart")
+    )
     parts = apart.groupBy("cluster", "known").agg(F.count("*").alias("held"))
-    main = parts.groupBy("cluster").agg(F.max_by("known", F.struct("held", "known")).alias("main"))
-    asked = apart.join(main, "cluster").where("known != main")
-    if asked.isEmpty():
-        return links
-    columns = ("cluster", "class_id", "hashes", "known")
-    rows = apart.select(unit_of(block.cast("long")).alias("unit"), *columns, F.lit(False).alias("query")).union(
-        asked.select("blocks", *columns, F.lit(True).alias("query"), every).withColumn("unit", unit_of(F.col("block").cast("long")))
-        .select("unit", *columns, "query")
+    main = parts.groupBy("cluster").agg(F.max_by("known", F.struct("held", "known")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
+    apart = stored(
+        apart.join(main, "cluster").select("cluster", "class_id", "hashes", "n", "blocks", "known", (F.col("known") != F.col("main")).alias("asks")), "apart"
     )
-    return links.union(stored(_search(rows, overlap), "second_links"))
+    if apart.isEmpty():
+        return links
+    return links.union(stored(_met_again(apart, overlap), "second_links"))
 
 
 def jaccard_components(

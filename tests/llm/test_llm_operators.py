@@ -117,6 +117,37 @@ def test_jaccard(spark, corpus, monkeypatch, size, num, den, block, hashes):
     assert got(out, "doc_id", "n_shingles", "component_id") == brute.jaccard(corpus, size, num, den)
 
 
+def template(rng, n, slots, vocabulary, length=40):
+    """Texts that differ from each other in the words of some slots, in no more than one for some of them."""
+    base = [f"t{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for s in range(slots):
+            text[(s + 1) * length // (slots + 1)] = f"u{s}v{rng.randrange(vocabulary)}"
+        out.append(text)
+        if i % 5 == 0:
+            out.append([*text, f"end{i}"])
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("slots, vocabulary", [(1, 10**6), (2, 12), (3, 6)])
+def test_jaccard_of_a_template(spark, monkeypatch, slots, vocabulary):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 25)
+    units, search = [], jaccard._search
+
+    def watched(rows, overlap):
+        units.append([r["count"] for r in rows.groupBy("unit", "cluster").count().collect()])
+        return search(rows, overlap)
+
+    monkeypatch.setattr(jaccard, "_search", watched)
+    texts = template(random.Random(slots), 250, slots, vocabulary)
+    out = jaccard.jaccard_components(frame(spark, texts), 3, Fraction(95, 100))
+    assert got(out, "doc_id", "n_shingles", "component_id") == brute.jaccard(texts, 3, 95, 100)
+    if len(units) > 1:  # two blocks, which hashes fill unevenly
+        assert max(units[1], default=0) <= 2 * 25 * 1.7
+
+
 # -- 3 ------------------------------------------------------------------------------
 
 
@@ -137,6 +168,17 @@ def test_suffix_dedup(spark, corpus, monkeypatch, counters):
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(texts)
 
 
+def test_suffix_dedup_without_ids_and_with_shared_ones(spark):
+    rng = random.Random(8)
+    quote = " ".join(words(rng, 80))
+    texts = ["a start " + quote, quote + " an end", "b " + quote + " c", "b " + quote + " c", " ".join(words(rng, 90, 10**6)), None, ""]
+    ids = [None, 4, None, None, 4, 4, None]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(2)
+    out = substrings.repeat_digests(substrings.remove_repeats(rows))
+    plain = sorted((str(i), *r[1:]) for i, r in zip(ids, brute.repeats(texts)))
+    assert sorted((str(r[0]), *r[1:]) for r in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == plain
+
+
 # -- 4 ------------------------------------------------------------------------------
 
 
