@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.tables import stored, whole
+from siftline.llm.tables import free_name, stored, whole
 
 #: Size of a Misra-Gries summary, and so the most rows that are broadcast.
 COUNTERS = 1023
@@ -66,46 +66,77 @@ def frequent_digests(hashed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Null texts count as empty.  The row with the smallest id of equal texts
-    stays (null ids come last); of rows that tie in it one stays.  An empty
-    table gives no rows; other columns are not looked at.
-    """
+def _digests(df: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and digest of every row, and the frequent digests, to be broadcast."""
     hashed = stored(
         df.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest")), "digests"
     )
-    winners = F.broadcast(stored(frequent_digests(hashed, counters), "frequent"))
-    heavy = hashed.join(winners, "digest")
-    first = heavy.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    at_first = Window.partitionBy("digest").orderBy("doc_id")
+    return hashed, F.broadcast(stored(frequent_digests(hashed, counters), "frequent"))
+
+
+def _usual(hashed: DataFrame, winners: DataFrame) -> DataFrame:
+    """Decisions on the rows whose digest is not frequent."""
     group = Window.partitionBy("digest")
-    light = hashed.join(winners, "digest", "left_anti").select(
+    return hashed.join(winners, "digest", "left_anti").select(
         "doc_id", "digest",
         F.min("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"),
         (F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())) == 1).alias("kept"),
     )
+
+
+def _one_of(key: str, order: str, part: str) -> Column:
+    """Marks one row of each ``key``: the first by ``order`` of each ``part``, then the first of those.
+
+    ``part`` is the number of the partition that was read, so no window has more
+    rows of a key than one partition holds, or than there are partitions.
+    """
+    here = F.row_number().over(Window.partitionBy(key, part).orderBy(order)) == 1
+    slot = F.when(here, F.lit(-1)).otherwise(F.col(part))
+    return here & (F.row_number().over(Window.partitionBy(key, slot).orderBy(order, part)) == 1)
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null texts count as empty.  The row with the smallest id of equal texts
+    stays (null ids come last); of rows that tie in it one stays.  An empty
+    table gives no rows; other columns are not looked at.
+    """
+    hashed, winners = _digests(df, id_col, text_col, counters)
+    heavy = hashed.join(winners, "digest").withColumn("_part", F.spark_partition_id())
+    first = heavy.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     parts = (
-        light,
-        first.withColumn("kept", F.row_number().over(at_first) == 1),
+        _usual(hashed, winners),
+        first.withColumn("kept", _one_of("digest", "doc_id", "_part")),
         heavy.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False)),
     )
     columns = ("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
     return parts[0].select(*columns).union(parts[1].select(*columns)).union(parts[2].select(*columns))
 
 
-def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, as ``kept`` marks it.
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row of each group of equal texts, as ``kept`` marks it, with all its columns, whatever their names.
 
-    Of rows that repeat both id and text (but for white space) the one with the
-    smallest text stays.  They are cut down before the shuffle, which the join
-    uses again.
+    Null texts count as empty.  Of rows that repeat both id and text (but for
+    white space), and of equal texts that have no id at all, the one with the
+    smallest text stays.  Copies of frequent texts go where they are read.  An
+    empty table gives no rows.
     """
-    found = exact_duplicates(df, id_col, text_col)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.struct("doc_id", F.col("text_sha256").alias("digest")).alias("_key")
-    )
-    keyed = df.withColumn("_key", F.struct(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("digest")))
-    first = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(text_col))).where("_nth = 1")
-    return first.join(dropped.hint("merge"), "_key", "left_anti").select(*df.columns)
+    hashed, winners = _digests(df, id_col, text_col, counters)
+    usual = _usual(hashed, winners)
+    digest, best, nth, part, gone, gone_id = (free_name(df, f"_{x}") for x in ("digest", "best", "nth", "part", "gone", "gone_id"))
+    known = F.broadcast(winners.select(F.col("digest").alias(digest), F.col("keep_id").alias(best)))
+    rows = df.withColumn(digest, F.unhex(F.sha2(normalised(text_col), 256))).join(known, digest, "left")
+    rows = rows.where(F.col(best).isNull() | (F.col(id_col) == F.col(best)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # The anti join uses the shuffle of the window again.
+    dropped = usual.where("doc_id is not null and doc_id != keep_id").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone))
+    named = rows.where(F.col(id_col).isNotNull())
+    named = named.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(text_col))).where(F.col(nth) == 1)
+    named = named.join(dropped.hint("merge"), (F.col(id_col) == F.col(gone_id)) & (F.col(digest) == F.col(gone)), "left_anti")
+    # Equal texts without ids may be any number of rows, and go if one of the equal texts has an id.
+    nameless = rows.where(F.col(id_col).isNull()).withColumn(part, F.spark_partition_id())
+    nameless = nameless.withColumn(nth, _one_of(digest, text_col, part)).where(F.col(nth))
+    owned = usual.where("doc_id is null and keep_id is not null").select(F.col("digest").alias(gone)).distinct()
+    nameless = nameless.join(owned.hint("merge"), F.col(digest) == F.col(gone), "left_anti")
+    return named.select(*columns).union(nameless.select(*columns))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.tables import whole
+from siftline.llm.tables import free_name, whole
 
 _EMAIL_CHARS = "[A-Za-z0-9._%+-]"
 #: Characters looked at before and behind a span for context words.
@@ -147,10 +147,10 @@ def _spans(text: Column, kind: Kind, base: bool) -> Column:
     return spans if base else F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
 
 
-def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with ``pii``: (kind, start, end, score) of all spans by kind and start, in code points.
+def with_spans(df: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
+    """The rows with ``into``: (kind, start, end, score) of all spans by kind and start, in code points.
 
-    The columns of the rows stay as they are.  Each kind is one column until
+    Other columns of the rows stay as they are.  Each kind is one column until
     they are joined, so that texts without its mark skip it.
     """
     text = whole(text_col)
@@ -159,8 +159,8 @@ def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     for kind in KINDS:
         possible = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
         possible = possible & text.rlike(kind.pattern)
-        columns[f"_pii_{kind.name}"] = F.when(possible, _spans(text, kind, kind in BASE)).otherwise(none)
-    return df.withColumns(columns).withColumn("pii", F.concat(*columns)).drop(*columns)
+        columns[free_name(df, f"_pii_{kind.name}")] = F.when(possible, _spans(text, kind, kind in BASE)).otherwise(none)
+    return df.withColumns(columns).withColumn(into, F.concat(*columns)).drop(*columns)
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +188,13 @@ def pii_digests(found: DataFrame) -> DataFrame:
 
 
 def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every span replaced by its kind in angle brackets; of overlapping spans the first, then the longest, counts."""
-    text = F.col(text_col)
+    """The rows with every span replaced by its kind in angle brackets; of overlapping spans the first, then the longest, counts.
+
+    Null and empty texts stay as they are.  Rows are read one by one, so
+    repeated rows stay equal, ids and other columns of any name stay, and an
+    empty table gives no rows.
+    """
+    text, spans = F.col(text_col), free_name(df, "pii")
 
     def step(state: Column, x: Column) -> Column:
         kept = F.substring(text, state["at"] + 1, x["start"] - state["at"])
@@ -198,11 +203,11 @@ def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
             F.struct(x["end"].alias("at"), F.concat(state["out"], kept, F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")),
         ).otherwise(F.struct(F.greatest(state["at"], x["end"]).alias("at"), state["out"].alias("out")))
 
-    ordered = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"), x["end"].alias("end"))))
     rebuilt = F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
         lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
     )
     return (
-        with_spans(df, text_col).withColumn(text_col, F.when(F.size("pii") > 0, rebuilt).otherwise(text)).drop("pii")
+        with_spans(df, text_col, spans).withColumn(text_col, F.when(F.size(spans) > 0, rebuilt).otherwise(text)).drop(spans)
     )

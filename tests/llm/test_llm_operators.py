@@ -206,6 +206,21 @@ def test_rows_left_by_exact_dedup_are_those_op4_keeps(spark):
     assert left.columns == df.columns and len(want) == 5
 
 
+@pytest.mark.parametrize("counters", [1023, 3])
+def test_rows_left_by_exact_dedup_keep_columns_of_any_name(spark, counters):
+    ids = [3, 3, None, None, None, None, 7, 2, 2, None, None]
+    texts = ["a  b", "a b", "a b", "only", "only", "only ", "", None, "", "last", "last"]
+    rows = [(i, t, f"k{n}", n, "part", n * 2, "row") for n, (i, t) in enumerate(zip(ids, texts))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _nth int, _part string, `digest.x` int, row string").repartition(4)
+    left = exact.without_copies(df, counters=counters)
+    assert left.columns == df.columns
+    out = sorted((str(r["doc_id"]), r["text"] or "", r["_nth"]) for r in left.collect())
+    assert [r[:2] for r in out] == [("2", ""), ("3", "a  b"), ("None", "last"), ("None", "only"), ("None", "only ")]
+    assert all(int(r["_key"][1:]) == r["_nth"] and r["digest.x"] == 2 * r["_nth"] and r["_part"] == "part" for r in left.collect())
+    marks = exact.exact_duplicates(df, counters=counters)
+    assert marks.where("kept").count() == 5 and marks.count() == len(rows)
+
+
 # -- 5 ------------------------------------------------------------------------------
 
 
@@ -323,6 +338,15 @@ def test_iban_ends_where_its_country_says(spark):
     assert dict(zip(cases, shown)) == cases
 
 
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [(1, "to a@b.cd now", "mine", "own"), (None, None, None, None), (2, "", "p", "q"), (1, "to a@b.cd now", "mine", "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string, _pii_email string")
+    out = pii.masked(df)
+    assert out.columns == df.columns
+    plain = [(1, "to <EMAIL> now", "mine", "own"), rows[1], rows[2], (1, "to <EMAIL> now", "mine", "own")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, plain))
+
+
 def test_local_phone_with_points_only(spark):
     out = dict(got(pii.pii_digests(pii.find_pii(frame(spark, ["please call 555.123.4567", "555 123.4567 (mobile)", "v 555.123.4567"]))), "doc_id", "spans"))
     assert out == {0: "phone_local:12:24", 1: "phone_local:0:12", 2: ""}
