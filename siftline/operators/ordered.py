@@ -7,7 +7,9 @@ key are first cut into contiguous slices of bounded size:
 1. a hash sample of the ordering columns gives cut points for the large keys
    only: about one for every ``rows_per_slice`` rows of the whole table, and
    never more than ``MAX_CUTS``, beyond which slices grow instead; that bounds
-   everything collected or broadcast here;
+   everything collected or broadcast here; no task sorts more than
+   ``SAMPLE_ROWS`` of the sample, which is thinned step by step where a key,
+   or the whole table as one key, has more;
 2. every row finds its slice by binary search, map-side;
 3. rows just before a cut are also copied into the next slice ("halo"), so
    frames that look a few rows back stay exact;
@@ -33,6 +35,10 @@ ROWS_PER_SLICE = 1_000_000
 #: Most cut points of one window: what the driver collects and every task gets.
 MAX_CUTS = 50_000
 MAX_LOOKUP_KEYS = 10_000
+#: Sampled rows of a key that one task sorts for the cut points.
+SAMPLE_ROWS = 100_000
+#: One of so many rows stays when the sample of a larger key is thinned.
+THINNED = 8
 _SEARCH_STEPS = [1 << p for p in range(MAX_CUTS.bit_length() - 1, -1, -1)]
 
 
@@ -107,6 +113,42 @@ class Ordered:
 
     # -- slicing -----------------------------------------------------------
 
+    def _points(self, sample: DataFrame, halo: int) -> DataFrame:
+        """The sample with ``halo``, the place that many sampled rows before, and the ``weight`` in sampled rows of each point.
+
+        A key whose sample exceeds a task's share is dealt by hash to tasks that each sort their part and keep every
+        ``THINNED``-th row; what is kept is dealt and thinned again until a key's points fit a task.  A thinned point stands
+        for ``THINNED`` of the step before, so ranks are estimates, as from any merged quantile sketch.  ``halo`` is taken
+        inside a part, where at least as many rows lie between as in the whole key.
+        """
+        keys = self.keys
+        lagged = lambda window: F.lag("start", halo).over(window) if halo else F.col("start")
+        match = _and([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+        done, left, weight = None, sample, 1
+        while True:
+            # keys above a task's share are fewer than the sample's rows over that share
+            large = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > SAMPLE_ROWS)
+            large = cut_lineage(large.select(*named, "__size"))
+            large = bounded_broadcast(large)
+            small = left.join(large, match, "left_anti")
+            if weight == 1:
+                small = small.withColumn("halo", lagged(Window.partitionBy(*keys).orderBy("start")))
+            small = small.withColumn("weight", F.lit(weight))
+            done = small if done is None else done.unionByName(small)
+            if large.isEmpty():
+                return done
+            parts = F.ceil(F.col("__size") / F.lit(SAMPLE_ROWS))
+            dealt = left.join(large, match).withColumn("__part", F.pmod(F.xxhash64(F.lit(weight), "start"), parts))
+            window = Window.partitionBy(*keys, "__part").orderBy("start")
+            dealt = dealt.withColumn("__nth", F.row_number().over(window))
+            if weight == 1:
+                dealt = dealt.withColumn("halo", lagged(window))
+            # parts start at different places, so that their kept rows interleave
+            first = F.pmod(F.col("__part"), F.lit(THINNED))
+            kept = dealt.where(F.pmod(F.col("__nth") + first, F.lit(THINNED)) == 0)
+            left, weight = cut_lineage(kept.select(*keys, "start", "halo")), weight * THINNED
+
     def _cut_points(self, rows_per_slice: int) -> list:
         """Rows (keys, JSON of slice start and halo start) in key and slice order, for the large keys only."""
         keys, halo = self.keys, self.halo
@@ -115,18 +157,29 @@ class Ordered:
         sample = self.frame.where(F.pmod(F.xxhash64(*keys, *self.order), F.lit(stride)) == 0).select(
             *keys, _order_key(self.frame, self.order).alias("start")
         )
+        sample = cut_lineage(sample)
         by_key = Window.partitionBy(*keys).orderBy("start")
+        sampled = sample.count()
+        if sampled < spacing:
+            return []
+        if sampled <= SAMPLE_ROWS:
+            points = sample.withColumn("halo", F.lag("start", halo).over(by_key) if halo else F.col("start"))
+            points = points.withColumn("weight", F.lit(1))
+        else:
+            points = self._points(sample, halo)
+        # a slice keeps more points than ``halo``, so that its rows alone fill the halo of the next one
+        span = F.greatest(F.lit(spacing), F.col("weight") * (halo + 1))
+        nth = lambda rows: F.floor(rows * F.col("weight") / span)
         cuts = (
-            sample.withColumn("__rn", F.row_number().over(by_key))
-            .withColumn("halo", F.lag("start", halo).over(by_key) if halo else F.col("start"))
-            .where(F.col("__rn") % spacing == 0)
+            points.withColumn("__rn", F.row_number().over(by_key))
+            .where((nth(F.col("__rn")) > nth(F.col("__rn") - 1)) & F.col("halo").isNotNull())
         )
         self._cut_type = cuts.select(F.array(F.struct("start", "halo")).alias("c")).schema["c"].dataType
         text = F.to_json(F.struct("start", "halo"), {"ignoreNullFields": "false"})
-        found = cuts.limit(MAX_CUTS + 1).count()
+        found = cuts.count()
         if found > MAX_CUTS:
-            thin = -(-cuts.count() // (MAX_CUTS // 2))
-            cuts = cuts.where(F.floor(F.col("__rn") / spacing) % thin == 0)
+            thin = -(-found // (MAX_CUTS // 2))
+            cuts = cuts.where(nth(F.col("__rn")) % thin == 0)
         elif not found:
             return []
         return cuts.select(*keys, "__rn", text.alias("__cut")).orderBy(*keys, "__rn").collect()

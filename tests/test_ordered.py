@@ -62,6 +62,39 @@ def test_large_key_is_really_cut(skewed):
     assert (sizes[sizes.k != "hot"].groupby("k").size() <= 2).all()
 
 
+@pytest.mark.parametrize("share", [20, 100, 700])
+def test_thinned_samples_give_the_same_rows(skewed, monkeypatch, share):
+    """Samples above a task's share are thinned in one to three steps; windows, sums and positions stay exact."""
+    pdf, df = skewed
+    monkeypatch.setattr(ordered, "SAMPLE_ROWS", share)
+    o = Ordered(df, ["k"], ["t", "id"], halo=3, rows_per_slice=33)
+    assert o.sliced
+    o.add({"lagged": F.lag("v").over(o.window()), "mean3": F.avg("v").over(o.window(-3, -1))})
+    o.position("pos").running({"cum": F.col("v")}).totals({"total": F.col("v")})
+    got = o.done().toPandas().sort_values("id").reset_index(drop=True)
+    want = expected(pdf)
+    assert len(got) == len(pdf)
+    for c in ("pos", "cum", "total", "lagged", "mean3"):
+        assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True), c
+    got = Ordered(df, [], ["t", "id"], rows_per_slice=50).position("p").done().toPandas().sort_values("p")
+    assert got["id"].tolist() == pdf.sort_values(["t", "id"], na_position="last")["id"].tolist()
+
+
+def test_no_task_sorts_more_than_its_share(spark, monkeypatch):
+    """Points of a table without keys: parts of about a share, few points at the end, slices of even size."""
+    monkeypatch.setattr(ordered, "SAMPLE_ROWS", 500)
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("v"), "id")
+    o = Ordered(df, [], ["v", "id"], rows_per_slice=1000)
+    sample = o.frame.select("__one_key", ordered._order_key(o.frame, o.order).alias("start"))
+    points = o._points(sample, 0)
+    row = points.agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")).first()
+    assert row["n"] <= 500 and row["low"] == row["high"] == 8**3
+    ranks = points.select(F.col("start.v0").alias("v")).toPandas()["v"].sort_values().to_numpy()
+    assert np.abs(np.diff(ranks, prepend=0)).max() < 4000
+    sizes = o.frame.groupBy("__slice").count().toPandas()["count"]
+    assert 30 <= len(sizes) <= 50 and sizes.max() <= 2500
+
+
 def test_global_order_without_keys(skewed):
     pdf, df = skewed
     got = Ordered(df, [], ["v", "id"], rows_per_slice=50).position("p").done().toPandas().sort_values("p")
