@@ -6,7 +6,7 @@ from .. import constants as K
 from ..functions import times
 from ..operators import alignment, columns, filters
 from ..session import scratch_path
-from ..sources import captures
+from ..sources import captures, resume
 from .base import flows, query, r, table
 from .columns import endpoints
 
@@ -145,3 +145,14 @@ def s11(spark, d):
     work.where("row_id % 4 = 0").write.parquet(path)
     todo = alignment.unfinished(work, spark.read.parquet(path), ["row_id"])
     return todo
+
+
+@query("S11_log", "SELECT row_id, source_file, CASE WHEN row_id % 4 = 0 THEN 'first' ELSE 'second' END AS part FROM flows WHERE lstm_probability >= 0.8")
+def s11_log(spark, d):
+    """A run that was stopped while it wrote its second part, and its restart."""
+    path = scratch_path(spark, "s11-log")
+    work = flows(spark, d).where("lstm_probability >= 0.8").select("row_id", "source_file")
+    resume.commit(work.where("row_id % 4 = 0"), path, "first", ["row_id"])
+    work.where("row_id % 4 = 1").write.parquet(f"{path}/data/part=second")
+    resume.commit(resume.unfinished(work, path, ["row_id"]), path, "second", ["row_id"])
+    return resume.committed(spark, path).select("row_id", "source_file", "part")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from siftline import constants as K
 from siftline.operators import filters
 from siftline.plans import jobs
-from siftline.sources import captures
+from siftline.sources import captures, resume
 from siftline.streaming.append import append_new_files
 
 COLUMNS = ["Flow ID", "Timestamp", "Value", "Label"]
@@ -116,3 +116,41 @@ def test_incremental_run_refuses_files_without_the_columns(spark, tmp_path):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b")])
     with pytest.raises(Exception, match="no header"):
         append_new_files(spark, str(tmp_path / "in"), schema, lambda df: df, str(tmp_path / "out"), str(tmp_path / "progress"))
+
+
+def test_restart_does_only_what_is_missing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    work = spark.range(30_000).select(F.col("id").alias("a"), F.concat(F.lit("k"), "id").alias("b"), (F.col("id") % 7).alias("v"))
+    keys = ["a", "b"]
+    assert resume.committed(spark, path) is None and resume.unfinished(work, path, keys).count() == 30_000
+    assert resume.commit(work.where("a < 20000"), path, "big", keys) == 20_000
+    assert resume.commit(work.where("a between 20000 and 20099"), path, "small", keys) == 100
+    assert resume.commit(work.where("a < 0"), path, "none", keys) == 0
+    # written without an entry: a run that was stopped
+    work.where("a between 25000 and 25999").write.parquet(path + "/data/part=stopped")
+    left = resume.unfinished(work, path, keys)
+    assert sorted(r["a"] for r in left.collect()) == list(range(20_100, 30_000))
+    assert resume.commit(left, path, "stopped", keys) == 9_900
+    got = resume.committed(spark, path)
+    assert got.count() == 30_000 and got.select(*keys).distinct().count() == 30_000
+    assert resume.unfinished(work, path, keys).isEmpty()
+
+
+def test_filters_let_few_keys_through(spark, tmp_path):
+    path = str(tmp_path / "out")
+    resume.commit(spark.range(50_000).select("id"), path, "p", ["id"])
+    assert resume.candidates(spark.range(50_000), path, ["id"]).count() == 50_000
+    strange = resume.candidates(spark.range(10**6, 10**6 + 50_000), path, ["id"])
+    assert strange.count() < 150
+    nulls = spark.createDataFrame([(None,), (None,), (3,), (3,)], "id long")
+    assert [r["id"] for r in resume.unfinished(nulls, path, ["id"]).collect()] == [None, None]
+
+
+def test_a_part_replaced_leaves_no_old_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    resume.commit(spark.range(10), path, "p", ["id"])
+    resume.commit(spark.range(5, 8), path, "p", ["id"])
+    assert sorted(r["id"] for r in resume.committed(spark, path).collect()) == [5, 6, 7]
+    assert resume.unfinished(spark.range(10), path, ["id"]).count() == 7
+    with pytest.raises(ValueError):
+        resume.commit(spark.range(1), path, "a/b", ["id"])
