@@ -407,3 +407,21 @@ def test_noise_is_repeatable(spark):
     one = augment.add_noise(df, ["x"], 0.5, "id").toPandas().set_index("id")["x"]
     two = augment.add_noise(df.repartition(5), ["x"], 0.5, "id").toPandas().set_index("id")["x"]
     assert (one == two.loc[one.index]).all() and abs(one.mean() - 1) < 0.05 and abs(one.std() - 0.5) < 0.05
+
+
+def test_candidates_are_summed_by_expressions(spark):
+    """The sums of every candidate equal plain ones and need no Python; sources are dealt to tasks."""
+    from siftline.operators.splits import _candidate_table, _draw
+
+    groups = spark.createDataFrame([(f"s{i}", i % 3 // 2, 10 + i, i % 3) for i in range(40)], "s string, label int, rows long, prev1 int").coalesce(1)
+    table = _candidate_table(groups, "s", 2, 1, 6, 7)
+    assert "InPandas" not in table._jdf.queryExecution().executedPlan().toString()
+    for row in table.collect():
+        drawn = groups.withColumn("place", _draw("s", F.lit(row["candidate"]), 2, 7)).collect()
+        for k, name in enumerate(("train", "validation", "test")):
+            for y, kind in enumerate(("benign", "malicious")):
+                assert row[f"{name}_{kind}"] == sum(r["rows"] for r in drawn if r["place"] == k and r["label"] == y)
+            if k:
+                assert row[f"both_{name}1"] == sum(r["place"] == k == r["prev1"] for r in drawn)
+                assert row[f"either_{name}1"] == sum(k in (r["place"], r["prev1"]) for r in drawn)
+    assert table.count() == 6
