@@ -36,7 +36,8 @@ class EndpointHistory(StatefulProcessor):
     A flow is given out once the watermark has passed it, since an earlier one
     may arrive until then; so the order of arrival within the delay does not
     matter.  State per endpoint is the flows of one delay and the longest
-    window.
+    window, in one list, since every call on a state costs more than its rows:
+    a flow behind the watermark has its position, one in front of it has -1.
     """
 
     def __init__(self, windows: Sequence[int], features: int):
@@ -44,14 +45,12 @@ class EndpointHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, row long, v array<double>")
-        self.recent = handle.getListState("recent", "us long, v array<double>")
-        self.seen = handle.getValueState("seen", "n long")
+        self.flows = handle.getListState("flows", "us long, row long, n long, v array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            self.waiting.appendList([(int(u), int(r), [float(x) for x in v]) for u, r, v in zip(batch["us"], batch["row"], batch["v"])])
+            self.flows.appendList([(int(u), int(r), -1, [float(x) for x in v]) for u, r, v in zip(batch["us"], batch["row"], batch["v"])])
             least = int(batch["us"].min())
             first = least if first is None else min(first, least)
         if first is not None:
@@ -60,29 +59,27 @@ class EndpointHistory(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get())
-        ready = sorted(((r[0], r[1], r[2]) for r in waiting if r[0] <= passed), key=lambda r: r[:2])
+        held = [(r[0], r[1], r[2], list(r[3])) for r in self.flows.get()]
+        ready = sorted((r for r in held if r[2] < 0 and r[0] <= passed), key=lambda r: r[:2])
         if not ready:
             return
-        before = [(r[0], r[1]) for r in self.recent.get()] if self.recent.exists() else []
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        us = np.array([b[0] for b in before] + [r[0] for r in ready], np.int64)
+        before = sorted((r for r in held if r[2] >= 0), key=lambda r: r[2])
+        m, seen = len(before), before[-1][2] + 1 if before else 0
+        us = np.array([r[0] for r in before + ready], np.int64)
         values = np.full((len(us), self.features + 1), np.nan)
-        for i, v in enumerate([b[1] for b in before] + [r[2] for r in ready]):
-            values[i, : len(v)] = v
-        m = len(before)
+        for i, r in enumerate(before + ready):
+            values[i, : len(r[3])] = r[3]
         gaps = np.maximum(np.diff(us) / 1e6, 0.0)
         values[max(m, 1) :, -1] = gaps[max(m, 1) - 1 :]
         out = {"row": [r[1] for r in ready], "us": us[m:], "n": seen + np.arange(len(ready)), "gap": values[m:, -1]}
         for k in self.windows:
             mean, spread = previous(values, k, m)
             out[f"mean{k}"], out[f"std{k}"] = list(mean), list(spread)
-        self.recent.put([(int(u), v.tolist()) for u, v in zip(us, values)][-max(self.windows) :])
-        self.seen.update((seen + len(ready),))
-        left = [(r[0], r[1], list(r[2])) for r in waiting if r[0] > passed]
-        self.waiting.clear()
+        rows = [r[1] for r in before + ready]
+        recent = [(int(us[i]), rows[i], seen - m + i, values[i].tolist()) for i in range(max(0, len(us) - max(self.windows)), len(us))]
+        left = [r for r in held if r[2] < 0 and r[0] > passed]
+        self.flows.put(recent + left)
         if left:
-            self.waiting.put(left)
             self.handle.registerTimer(min(r[0] for r in left) // 1000 + 1)
         frame = pd.DataFrame(out)
         for i, name in enumerate(("k0", "k1", "k2")):

@@ -3,11 +3,12 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators.temporal import history_features
-from siftline.streaming.history import run_history
+from siftline.streaming.history import EndpointHistory, run_history
 
 NAMES = {"source": "file", "src_ip": "src", "dst_ip": "dst", "ts": "ts", "row_id": "id", "features": ["x", "y"], "windows": (2, 3)}
 SCHEMA = "id long, file string, src string, dst string, ts timestamp, x double, y double"
@@ -56,3 +57,38 @@ def test_stream_gives_the_rows_of_the_batch_after_restarts(spark, tmp_path, toge
                 continue
             a, b = got[i][name], w[name]
             assert a == b or (isinstance(b, float) and a == pytest.approx(b, abs=1e-9)), (i, name, a, b)
+
+
+class Handle:
+    """State of one key, and how often it is called."""
+
+    def __init__(self):
+        self.calls, self.rows = 0, {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        self.name = name
+        return self
+
+    getValueState = getListState  # noqa: N815
+
+    def __getattr__(self, called):
+        def call(*values):
+            self.calls += 1
+            if called == "appendList":
+                self.rows.setdefault(self.name, []).extend(values[0])
+            elif called == "put":
+                self.rows[self.name] = list(values[0])
+            return iter(self.rows.get(self.name, [])) if called == "get" else None
+
+        return call
+
+
+def test_an_endpoint_costs_few_calls_on_its_state():
+    handle, history = Handle(), EndpointHistory([2], 1)
+    history.init(handle)
+    rows = pd.DataFrame({"us": [1_000_000, 2_000_000, 90_000_000], "row": [1, 2, 3], "v": [[1.0], [2.0], [3.0]]})
+    list(history.handleInputRows(("f", "a", "b"), iter([rows]), None))
+    watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 50_000})()
+    (given,) = history.handleExpiredTimer(("f", "a", "b"), watermark, None)
+    assert given["row"].tolist() == [1, 2] and given["n"].tolist() == [0, 1]
+    assert handle.calls <= 5  # rows and a timer; then rows read and written, and a timer for those that wait
