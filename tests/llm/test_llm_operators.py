@@ -1,6 +1,7 @@
 """Operators for training data against plain versions of themselves."""
 
 import random
+import re
 import sys
 from fractions import Fraction
 from pathlib import Path
@@ -86,6 +87,18 @@ def test_every_template_names_its_license_alone(spark):
     assert out[len(texts) - 1]["labels"] == ",".join(sorted({t[0] for t in licenses.TEMPLATES}))
 
 
+def test_license_scan_cuts_each_text_once_for_its_grams(spark):
+    texts = ["", "...", "one", "one two", "cc by nc", " .cc by-nc. ", "\x7fcc`by\x00nc é\U0001F600Z"]
+    df = frame(spark, texts).select("doc_id", F.lit(0).alias("text_key"), "text")
+    known = licenses._templates(spark, licenses.PHRASES[2:], ())
+    hits = licenses._hits(df, known.select("template", F.posexplode(licenses._grams(F.col("t_words"))).alias("t_place", "gram")))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "translate" in line]
+    assert sorted((r["doc_id"], r["first"]) for r in hits.collect()) == [(4, 0), (5, 0), (6, 0)]
+    cut = df.orderBy("doc_id").select(licenses.words("text").alias("w")).collect()
+    assert [r["w"] for r in cut] == [re.findall(r"[^\x00-/:-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+
+
 @pytest.mark.parametrize("text, labels", [
     ("The album was released under the Sony label in 1999.", ""),
     ("He studied under the MIT professor and was released under the MIT program", ""),
