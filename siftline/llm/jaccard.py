@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.graph import components
 from siftline.llm.shingles import Overlap, WordHashes, part_keys, shingle_set
-from siftline.llm.tables import stored, whole
+from siftline.llm.tables import discard, stored, whole
 
 #: Hashes that one task holds at a time, for prefixes and for indexed sets.
 TASK_HASHES = 400_000
@@ -268,7 +268,21 @@ def _rare_groups(apart: DataFrame, overlap: Overlap) -> DataFrame:
         # Two lists that met here by chance would only be one larger group.
         .select("cluster", "token", F.xxhash64("cluster", "held", "times").alias("meeting"))
     )
-    return rare.join(lists, ["cluster", "token"]).select("meeting", "class_id", "n").distinct()
+    return _together(rare.join(lists, ["cluster", "token"]).select("meeting", "class_id", "n").distinct())
+
+
+def _together(groups: DataFrame) -> DataFrame:
+    """Groups with the same set as their first by a hash become one, which holds all that meet in any of them.
+
+    Near copies meet behind many hashes, each time in almost the same group, and
+    nearly equal groups mostly have the same first set.  So a set is sent to few
+    groups instead of one for each of its hashes.  What becomes one group is
+    never more than the groups of one set.
+    """
+    for salt in range(2):
+        first = groups.groupBy("meeting").agg(F.min_by("class_id", F.xxhash64("class_id", F.lit(salt))).alias("first"))
+        groups = groups.join(first, "meeting").select(F.col("first").alias("meeting"), "class_id", "n").distinct()
+    return groups
 
 
 def _met_again(apart: DataFrame, overlap: Overlap) -> DataFrame:
@@ -287,13 +301,14 @@ def _met_again(apart: DataFrame, overlap: Overlap) -> DataFrame:
 
 
 def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
-    """Links between the sets of each cluster, enough to connect all that are linked."""
-    members = stored(sets.join(clusters, "class_id"), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).withColumn("blocks", _blocks("total", "sets"))
+    """Links between the sets of each cluster, enough to connect all that are linked; ``sets`` is read once and goes."""
+    held = stored(sets.join(clusters, "class_id"), "members")
+    discard(sets)
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).withColumn("blocks", _blocks("total", "sets"))
     sizes = stored(sizes, "sizes")
     total = sizes.agg(F.sum("total")).first()[0] or 0
     units = max(1, total // TASK_HASHES)
-    members = members.join(sizes, "cluster")
+    members = held.join(sizes, "cluster")
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
     unit_of = lambda block: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(
         F.xxhash64("cluster", block)
@@ -306,6 +321,7 @@ def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
     links = stored(_search(own.union(guests), overlap), "first_links")
     large = sizes.where("blocks > 1")
     if large.isEmpty():
+        discard(held)
         return links
     # In a large cluster, what its largest component has not met yet asks again; clusters in one piece are done.
     apart = members.where("blocks > 1").join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
@@ -316,9 +332,12 @@ def _links(sets: DataFrame, clusters: DataFrame, overlap: Overlap) -> DataFrame:
     apart = stored(
         apart.join(main, "cluster").select("cluster", "class_id", "hashes", "n", "blocks", "known", (F.col("known") != F.col("main")).alias("asks")), "apart"
     )
+    discard(held)
     if apart.isEmpty():
         return links
-    return links.union(stored(_met_again(apart, overlap), "second_links"))
+    second = stored(_met_again(apart, overlap), "second_links")
+    discard(apart)
+    return links.union(second)
 
 
 def jaccard_components(
@@ -336,10 +355,11 @@ def jaccard_components(
     """
     overlap = Overlap(share)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    documents = stored(_sets(texts, size, overlap), "shingles")
-    full = documents.where("n_shingles > 0")
+    prefixes = stored(_sets(texts, size, overlap), "shingles")
+    documents = stored(prefixes.drop("prefix"), "documents")
+    full = prefixes.where("n_shingles > 0")
     owner = F.xxhash64("digest").alias("owner")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
+    classes = documents.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(1, int(total * float(overlap.prefix(1000)) / 1000) // TASK_HASHES)
     # Copies have one owner, so they do not count as partners of each other.
@@ -354,6 +374,7 @@ def jaccard_components(
         classes.withColumn("owner", owner).join(shared, "owner").where((F.col("shared") >= needed) & F.col("class_id").isNotNull()).select("class_id"),
         "possible",
     )
+    discard(prefixes)
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -374,6 +395,7 @@ def jaccard_components(
     met = routed.groupBy("key").agg(F.count("*").alias("times"), F.min("class_id").alias("b")).where("times > 1")
     edges = routed.join(met, "key").select(F.col("class_id").alias("a"), "b").where("a != b").distinct()
     clusters = components(edges).select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
+    discard(routed)
     linked = components(_links(sets, clusters, overlap))
     named = classes.join(linked, classes["class_id"] == linked["node"], "left").select(
         F.col("digest").alias("_digest"), "class_id", F.coalesce("component", "class_id").alias("component_id")

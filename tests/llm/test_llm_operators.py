@@ -20,6 +20,8 @@ from siftline.llm import (  # noqa: E402
 from siftline.llm.chunks import byte_pairs  # noqa: E402
 from siftline.llm.eliasfano import EliasFano, encoded  # noqa: E402
 from siftline.llm.lyndon import suffix_array  # noqa: E402
+from siftline.llm.tables import discard, stored  # noqa: E402
+from siftline.session import shared_dir  # noqa: E402
 
 ODD = [None, "", " ", "a", "\n\n", "é", "🙂 x", "a  b", "▁ ▁x", "日本語 テスト", "x " * 3000, "0 " * 2000, "y" * 5000]
 TOKENS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -161,6 +163,32 @@ def test_jaccard_of_a_template(spark, monkeypatch, slots, vocabulary):
         assert max(units[1], default=0) <= 2 * 25 * 1.7
 
 
+def test_groups_of_near_copies_become_few(spark):
+    """A set that meets nearly the same sets behind 30 hashes is sent to few groups, and all that met still meet."""
+    rows = [(30 * f + m, 100 * f + c, 9) for f in range(5) for m in range(30) for c in range(20) if c != m]
+    both = jaccard._together(spark.createDataFrame(rows, "meeting long, class_id long, n long")).toPandas()
+    met = [set(own) for _, own in both.groupby("meeting")["class_id"]]
+    assert len(both) <= 3 * 100 and max(map(len, met)) <= 20
+    for f in range(5):
+        for m in range(30):
+            assert any({100 * f + c for c in range(20) if c != m} <= own for own in met)
+
+
+def test_tables_of_near_dedup_go_when_read(spark, corpus):
+    """Neither shuffle files of a written table nor tables that hold hashes of all documents are left behind."""
+    blocks = lambda: str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" "))
+    before = set(re.findall(r"shuffle_\S+", blocks()))
+    table = stored(spark.range(20_000).selectExpr("id", "id % 7 as k").groupBy("k").count(), "counts")
+    assert not set(re.findall(r"shuffle_\S+", blocks())) - before and table.count() == 7
+    discard(table)
+    root = Path(shared_dir(spark).removeprefix("file:")) / "siftline"
+    assert not Path(table._stored_at).exists()
+    known = set(root.iterdir())
+    assert jaccard.one_of_each(frame(spark, corpus)).count()
+    left = {p.name.split("-")[0] for p in set(root.iterdir()) - known}
+    assert "documents" in left and not left & {"shingles", "sets", "routed", "members", "apart"}
+
+
 # -- 3 ------------------------------------------------------------------------------
 
 
