@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import scratch_path
-
-#: Shuffle files go when the write that made them is over.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from siftline.session import discard, stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,32 +31,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder once and reads it back, so that later steps do not run it again.
-
-    The shuffle files of the run go with its end, not when the driver happens to
-    collect its garbage.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of tables that ``stored`` gave and that no later step reads."""
-    for df in tables:
-        spark, path = df.sparkSession, df._stored_at
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
